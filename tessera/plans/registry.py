@@ -166,3 +166,7 @@ def q_chunk_marker_text(spark, sf):
     from ..operators.chunk_marker import chunk_by_marker
     ch = chunk_by_marker(B.event_rows(B.table(spark, sf, "events")), MARKER, with_text=True)
     return ch.select("chunk_id", "content")
+
+
+# the other query groups register themselves on import
+from . import registry_search  # noqa: E402,F401
