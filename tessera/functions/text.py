@@ -92,7 +92,7 @@ def section_label(cells, marker: str) -> Column:
     the label pattern matches, else the stripped cell; ``Unknown Test`` if no
     cell contains the marker.
     """
-    first = F.element_at(F.filter(_c(cells), lambda x: x.isNotNull() & x.contains(marker)), 1)
+    first = F.try_element_at(F.filter(_c(cells), lambda x: x.isNotNull() & x.contains(marker)), F.lit(1))
     stripped = py_strip(first)
     num = F.regexp_extract(stripped, LABEL_PATTERN, 1)
     return (F.when(first.isNull(), F.lit(UNKNOWN_LABEL))

@@ -170,3 +170,4 @@ def q_chunk_marker_text(spark, sf):
 
 # the other query groups register themselves on import
 from . import registry_search  # noqa: E402,F401
+from . import registry_text  # noqa: E402,F401
