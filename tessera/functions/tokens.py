@@ -7,6 +7,7 @@ used whenever a byte-pair vocabulary is not available.  An optional Arrow
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ def count_tokens(c, encoding_name: str | None = None) -> Column:
 
 def tokenizer_udf(encoding_name: str):
     """Arrow-batched counter; the encoder is loaded once per Python worker."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("bigint")
