@@ -334,7 +334,7 @@ def q_ingest_stream(spark, sf):
     rows.repartition(8, "sheet").sortWithinPartitions("sheet", "row_idx").write.option("header", True) \
         .option("escape", '"').csv(src)
     q = ingest_stream(spark, src, out, ckpt, max_tokens=K1_BUDGET, overlap_tokens=K1_OVERLAP,
-                      max_files_per_trigger=2)
+                      max_files_per_trigger=4)
     q.awaitTermination()
     v = spark.read.parquet(out)
     return v.select("chunk_id", "source", "part", "start_row", "end_row", "token_count", "epoch")
