@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.tokens import CHARS_PER_TOKEN
+from ..session import spread
 from .ids import assign_chunk_ids
 from .scan import ordered_text
 
@@ -141,7 +142,7 @@ def chunk_recursive(rows: DataFrame, budget: int = DEFAULT_BUDGET, overlap: int
                     length: Callable[[str], int] = fallback_len) -> DataFrame:
     """K2 chunks in the ``chunks`` layout."""
     texts = sheet_csv_text(rows)
-    parts = texts.mapInPandas(_splitter(budget, overlap, length), SPLIT_SCHEMA)
+    parts = spread(texts).mapInPandas(_splitter(budget, overlap, length), SPLIT_SCHEMA)
     out = (parts.withColumn("chunk_type", F.lit(TYPE_RECURSIVE))
                 .withColumn("start_row", F.lit(None).cast("bigint"))
                 .withColumn("end_row", F.lit(None).cast("bigint"))

@@ -75,3 +75,32 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def _bytes(text: str) -> int:
+    t = str(text).strip().lower()
+    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
+                         ("g", 1 << 30), ("b", 1)):
+        if t.endswith(suffix):
+            return int(float(t[: -len(suffix)]) * mult)
+    return int(t)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a *small* input over the default parallelism before a
+    Python-heavy step (a small file is a single scan task).
+
+    The decision uses the optimizer's size estimate, so nothing is executed;
+    an input larger than ``defaultParallelism x maxPartitionBytes`` already
+    has enough partitions and passes through unchanged.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        part = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    except Exception:
+        return df
+    if size < want * part:
+        return df.repartition(want)
+    return df
