@@ -340,3 +340,41 @@ def q_generate_stub(spark, sf):
     req = _requests(spark, sf)
     raw = persist_responses(call_model(req, stub_model, concurrency=8))
     return parse_responses(raw, req)
+
+
+@register("answer_stub")
+def q_answer_stub(spark, sf):
+    """G9 end to end: questions -> hits over document vectors -> context ->
+    prompt -> body -> stub model (errors as rows) -> parsed, cleaned answers."""
+    from .flagship import ask
+    store = hashed_tf(doc_store(spark, sf), "chunk_id", "content", keep=True)
+    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
+    questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+                         _model_case(F.pmod(F.col("conv_id"), F.lit(4))).alias("model_id"), F.lit(K).alias("k"))
+    return ask(questions, store, stub_model, k=K, concurrency=8)
+
+
+def stub_events(body: str, model_id: str):
+    """Deterministic stand-in for an event-stream endpoint: a start event,
+    the question echoed in two text deltas, a delta without text, a stop."""
+    import json
+    q = json.loads(body)["messages"][0]["content"]
+    if len(q) % 11 == 0:
+        raise RuntimeError("stream refused")
+    half = len(q) // 2
+    yield json.dumps({"type": "message_start"})
+    yield json.dumps({"type": "content_block_delta", "delta": {"text": q[:half]}})
+    yield json.dumps({"type": "content_block_delta", "delta": {}})
+    yield json.dumps({"type": "content_block_delta", "delta": {"text": q[half:]}})
+    yield json.dumps({"type": "message_stop"})
+
+
+@register("answer_events_stub")
+def q_answer_events_stub(spark, sf):
+    """G10 end to end with a stub event stream (rows only)."""
+    from .flagship import ask_events
+    store = hashed_tf(doc_store(spark, sf), "chunk_id", "content", keep=True)
+    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
+    questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+                         F.lit(STREAM_ID).alias("model_id"), F.lit(K).alias("k"))
+    return ask_events(questions, store, stub_events, k=K, concurrency=8)

@@ -30,7 +30,8 @@ def test_registry_is_complete():
     sql = E.oracle_sql()
     assert set(sql) <= set(E.queries())
     rows_only = set(E.queries()) - set(sql)
-    assert rows_only == {"chunk_recursive", "knn_lsh", "generate_stub", "ingest_stream"}
+    assert rows_only == {"chunk_recursive", "knn_lsh", "generate_stub", "answer_stub", "answer_events_stub",
+                        "ingest_stream"}
 
 
 @pytest.mark.parametrize("name", NAMES)
