@@ -7,18 +7,18 @@ without any marker becomes one ``Full Sheet`` chunk.
 
 Plan: one skew-safe running count of markers (section id, W1), one group-by
 of ``(source, sheet, section)`` for bounds, counts, label and ordered text
-(two-level, so a huge section never sits in one task), then a window over
-the section table (one row per section) for the per-sheet facts.
+(two-level, so a huge section never sits in one task), then a per-sheet
+aggregate of the section table joined back for the per-sheet facts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .ids import assign_chunk_ids
-from .scan import ordered_text, running_sum
+from .scan import join_small, ordered_text, running_sum
 
 # Fixed values of the marker chunker's output.
 DEFAULT_MARKER = "TestNumber"
@@ -58,10 +58,12 @@ def sections(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bool = Tr
 def chunk_by_marker(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bool = True) -> DataFrame:
     """Marker chunks in the ``chunks`` layout (content null when ``with_text`` is off)."""
     s = sections(rows, marker, with_text)
-    w = Window.partitionBy("source", "sheet")
-    s = (s.withColumn("__n_markers", F.max("section").over(w))
-          .withColumn("__min_section", F.min("section").over(w))
-          .withColumn("__sheet_rows", F.max("last_idx").over(w) + 1))
+    # per-sheet facts from a partial aggregate joined back (AQE broadcasts it
+    # when small and splits a sheet with very many sections otherwise)
+    per_sheet = (s.groupBy("source", "sheet")
+                  .agg(F.max("section").alias("__n_markers"), F.min("section").alias("__min_section"),
+                       (F.max("last_idx") + 1).alias("__sheet_rows")))
+    s = join_small(s, per_sheet, ["source", "sheet"])
     full = F.col("__n_markers") == 0
     pre = (F.col("section") == 0) & ~full
     chunk_type = F.when(full, F.lit(TYPE_FULL)).otherwise(F.lit(TYPE_SECTION))
