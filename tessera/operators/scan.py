@@ -91,6 +91,26 @@ def ordered_text(df: DataFrame, keys: Sequence[str], order: str, text: str, sep:
 
 def group_offsets(counts: DataFrame, keys: Sequence[str], order: Sequence[str], n: str, out: str) -> DataFrame:
     """Exclusive running total of ``n`` per ``keys`` in ``order`` (one row per
-    group, so the window runs over groups, not over their rows)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint"))
+    group, e.g. one per sheet).
+
+    A key may own a large share of the groups (a source with most of the
+    sheets), so no window is partitioned by ``keys`` alone.  The rows are
+    range-sorted globally (a hot key spreads over many partitions), each
+    partition keeps its own running totals, and a table with one row per
+    (partition, key) gives every partition the total of the partitions
+    before it.  The sorted table is checkpointed so the partition numbers
+    stay fixed between the two uses.
+    """
+    from ..session import cut_lineage
+
+    keys, order = list(keys), list(order)
+    srt = counts.orderBy(*keys, *order).withColumn("__pid", F.spark_partition_id())
+    srt = cut_lineage(srt)
+    w_loc = Window.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    loc = srt.withColumn("__loc", F.coalesce(F.sum(n).over(w_loc), F.lit(0)))
+    tot = srt.groupBy("__pid", *keys).agg(F.sum(n).alias("__t"))
+    w_part = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("__pid", *keys, F.coalesce(F.sum("__t").over(w_part), F.lit(0)).alias("__poff"))
+    return (loc.join(off, ["__pid", *keys])
+               .withColumn(out, (F.col("__poff") + F.col("__loc")).cast("bigint"))
+               .drop("__pid", "__loc", "__poff"))

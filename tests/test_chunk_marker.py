@@ -66,3 +66,14 @@ def test_running_sum_blocks(spark):
         for s, sh, i, v in rows:
             acc[sh] = acc.get(sh, 0) + v
             assert got[(sh, i)] == acc[sh]
+
+
+def test_group_offsets_spread_hot_key(spark):
+    from tessera.operators.scan import group_offsets
+    rows = [("hot", f"s{i:04d}", i % 37, (i * 7) % 5) for i in range(600)] + [("cold", "a", 1, 3), ("cold", "b", 0, 2)]
+    df = spark.createDataFrame(rows, "source string, sheet string, pos long, n long").repartition(7)
+    got = {(r.source, r.sheet): r.off for r in group_offsets(df, ["source"], ["pos", "sheet"], "n", "off").collect()}
+    acc = {}
+    for src, sh, pos, n in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        assert got[(src, sh)] == acc.get(src, 0)
+        acc[src] = acc.get(src, 0) + n
