@@ -77,3 +77,28 @@ def test_group_offsets_spread_hot_key(spark):
     for src, sh, pos, n in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         assert got[(src, sh)] == acc.get(src, 0)
         acc[src] = acc.get(src, 0) + n
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_sheets_partition_rows(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    sheets = {}
+    for k in range(8):
+        rows = []
+        for _i in range(rnd.randint(1, 40)):
+            r = rnd.random()
+            cell = ("TestNumber = %d;" % rnd.randint(1, 99) if r < 0.15 else
+                    " x TestNumber" if r < 0.25 else None if r < 0.35 else "v%d" % rnd.randint(0, 9))
+            rows.append([cell, None if rnd.random() < 0.5 else "w"])
+        sheets[f"r{k}"] = rows
+    got = {}
+    for r in chunk_by_marker(sheet_df(spark, sheets, columns=["A", "B"]), M, with_text=False).collect():
+        got.setdefault(r.sheet, []).append((r.part, r.start_row, r.end_row, r.total_rows))
+    for name, rows in sheets.items():
+        want = [(s, e, t) for _k, s, e, t in py_sections(rows, M)]
+        g = [x[1:] for x in sorted(got[name])]
+        assert g == want
+        # sections cover the rows with no gap and no overlap
+        assert g[0][0] == 1 and g[-1][1] == len(rows)
+        assert all(b[0] == a[1] + 1 for a, b in zip(g, g[1:]))

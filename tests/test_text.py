@@ -89,3 +89,10 @@ def test_split_text_small_cases():
     assert split_text("abc", 10, 2) == ["abc"]
     # a long word with the len//5 counter: character pieces count 0, kept whole
     assert split_text("x" * 100, 10, 0) == ["x" * 100]
+
+
+def test_tokenizer_udf_falls_back(spark):
+    from tessera.functions.tokens import count_tokens
+    df = spark.createDataFrame([("hello world, this is text",), ("",), (None,)], "t string")
+    got = [r.n for r in df.select(count_tokens("t", "no-such-encoding").alias("n")).collect()]
+    assert got == [len("hello world, this is text") // 5, 0, 0]
