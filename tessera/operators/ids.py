@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import CHUNK_COLUMNS
+from ..session import cut_lineage
 from .scan import group_offsets, join_small
 
 
@@ -17,9 +18,13 @@ def assign_chunk_ids(chunks: DataFrame, sep: str, lower: bool = False) -> DataFr
     of a source in ``(sheet_pos, sheet)`` order, then ``part``.
 
     The running number is built from one row per sheet (count of its chunks,
-    exclusive prefix per source), so no window ever spans all chunks of a
-    large source.
+    exclusive prefix per source, see ``group_offsets``), so no window ever
+    spans all chunks of a large source.
     """
+    # the chunk table is read twice (per-sheet counts and the join back):
+    # materialise it once in the shared checkpoint folder instead of running
+    # the chunker twice
+    chunks = cut_lineage(chunks)
     per_sheet = (chunks.groupBy("source", "sheet")
                        .agg(F.max("sheet_pos").alias("__pos"), F.count(F.lit(1)).alias("__n")))
     offs = group_offsets(per_sheet, ["source"], ["__pos", "sheet"], "__n", "__off").drop("__pos", "__n")
