@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.embed import DEFAULT_DIM, embed_chunks
+from ..session import cut_lineage
 from .ingest import METHOD_TOKENS, chunk, scan_folder
 
 
@@ -44,7 +45,9 @@ def append_vectors(vectors: DataFrame, path: str) -> DataFrame:
         new = vectors.join(stored, "chunk_id", "left_anti")
     else:
         new = vectors
-    new = new.select(*vectors.columns)
+    # fix the new rows before writing: read lazily afterwards, the anti-join
+    # would see them in the store and report nothing added
+    new = cut_lineage(new.select(*vectors.columns))
     new.write.mode("append").parquet(path)
     return new
 
