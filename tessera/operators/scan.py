@@ -40,7 +40,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value, out: str,
                 block: int = BLOCK_ROWS) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``pos`` order.
 
-    ``pos`` must be a dense 0-based ordinal within the key (as ``row_idx``).
+    ``pos`` must be a non-negative ordinal within the key (as ``row_idx``);
+    gaps are allowed and only leave blocks less full.
     Equals ``sum(value) over (partition by keys order by pos)`` but no task
     ever holds more than ``block`` rows of one key.
     """
