@@ -115,3 +115,12 @@ def group_offsets(counts: DataFrame, keys: Sequence[str], order: Sequence[str],
     return (loc.join(off, ["__pid", *keys])
                .withColumn(out, (F.col("__poff") + F.col("__loc")).cast("bigint"))
                .drop("__pid", "__loc", "__poff"))
+
+
+def row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of each row within ``keys`` in ``order`` (which must
+    be unique within a key): ``row_number() - 1`` without a window over a
+    whole key.  The exclusive running count of ``group_offsets`` with one
+    per row, so a key holding most rows is still spread over many tasks."""
+    x = df.withColumn("__one", F.lit(1).cast("bigint"))
+    return group_offsets(x, keys, order, "__one", out).drop("__one")

@@ -9,9 +9,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import row_ordinal
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -46,8 +48,10 @@ def event_rows(events: DataFrame) -> DataFrame:
         F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("sheet_pos"),
         "ts", "event_id",
         F.array(F.col("event_type"), F.format_string("%.2f", "value"), F.col("props")).alias("cells"))
-    w = Window.partitionBy("source", "sheet").orderBy("ts", "event_id")
-    return x.select("source", "sheet", "sheet_pos", (F.row_number().over(w) - 1).cast("bigint").alias("row_idx"),
+    # one user-day may hold most events: number the rows by a range-sorted
+    # prefix count instead of a window over the whole sheet
+    x = row_ordinal(x, ["source", "sheet"], ["ts", "event_id"], "row_idx")
+    return x.select("source", "sheet", "sheet_pos", "row_idx",
                     F.array(*[F.lit(c) for c in EVENT_COLUMNS]).alias("columns"), "cells")
 
 

@@ -4,11 +4,11 @@ recursive splitter and the streaming ingest."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tokens import fallback_tokens
+from ..operators.scan import row_ordinal
 from . import bindings as B
 from . import oracle as O
 from .registry import K1_BUDGET, K1_OVERLAP, MARKER, _event_sql, register
@@ -75,14 +75,13 @@ NATION_SQL = CUST_SQL + ["c_name || ', \"' || c_mktsegment || '\"'"]
 
 
 def _nation_sheets(spark, sf):
-    c = B.table(spark, sf, "customer")
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = row_ordinal(B.table(spark, sf, "customer"), ["c_nationkey"], ["c_custkey"], "__pos")
     cells = [F.col(c_).cast("string") for c_ in CUST_COLS]
     cells[3] = F.format_string("%.2f", "c_acctbal")
     cells.append(F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"')))
     return c.select(F.lit("customer.csv").alias("source"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("sheet"),
                     F.col("c_nationkey").cast("bigint").alias("sheet_pos"),
-                    (F.row_number().over(w) - 1).cast("bigint").alias("row_idx"),
+                    F.col("__pos").alias("row_idx"),
                     F.array(*[F.lit(x) for x in NATION_COLS]).alias("columns"), F.array(*cells).alias("cells"))
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from helpers import py_sections, sheet_df
 from tessera.operators.chunk_marker import chunk_by_marker
-from tessera.operators.scan import running_sum
+from tessera.operators.scan import row_ordinal, running_sum
 
 M = "TestNumber"
 SHEETS = {
@@ -102,3 +102,18 @@ def test_random_sheets_partition_rows(spark, seed):
         # sections cover the rows with no gap and no overlap
         assert g[0][0] == 1 and g[-1][1] == len(rows)
         assert all(b[0] == a[1] + 1 for a, b in zip(g, g[1:]))
+
+
+def test_row_ordinal_hot_key(spark):
+    """A key holding most rows, spread over many partitions, is numbered like
+    ``row_number() - 1`` in (ts, id) order; gaps and ties in ts are broken by id."""
+    import random
+    rnd = random.Random(7)
+    rows = [("hot", rnd.randrange(50), i) for i in range(3000)] + [(f"k{j}", rnd.randrange(5), j) for j in range(40)]
+    df = spark.createDataFrame(rows, "k string, ts int, id int").repartition(13)
+    got = {(r.k, r.id): r.pos for r in row_ordinal(df, ["k"], ["ts", "id"], "pos").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, (_k, _ts, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))):
+            want[(k, i)] = n
+    assert got == want
