@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if d and not sc.getCheckpointDir():
+        # named by the session only: apply it so that checkpoint() uses it
+        sc.setCheckpointDir(d)
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         sc.setCheckpointDir(d)
