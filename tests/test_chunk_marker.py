@@ -117,3 +117,16 @@ def test_row_ordinal_hot_key(spark):
         for n, (_k, _ts, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))):
             want[(k, i)] = n
     assert got == want
+
+
+def test_running_sum_with_gaps(spark):
+    """``pos`` may have gaps (filtered event sequences): blocks are less full,
+    sums are unchanged."""
+    rows = [("r", "x", p, p % 5) for p in range(0, 300, 7)] + [("r", "y", p, 1) for p in (3, 40, 41, 900)]
+    df = spark.createDataFrame(rows, "source string, sheet string, seq long, v int")
+    for block in (1, 4, 50):
+        got = {(r.sheet, r.seq): r.acc for r in running_sum(df, ["source", "sheet"], "seq", "v", "acc", block).collect()}
+        acc = {}
+        for _s, sh, p, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            acc[sh] = acc.get(sh, 0) + v
+            assert got[(sh, p)] == acc[sh]
