@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, repetition, site_tree, toxicity
+from . import decontaminate, jaccard_join, mixing, repetition, site_tree, suffix_dedup, toxicity
 from .common import table
 
 
@@ -29,10 +29,14 @@ def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op5_toxicity_lexicon,
-                                   op6_qgram_decontamination, op10_signature_tree_join)}
+                                   op6_qgram_decontamination, op7_run_length_dedup, op10_signature_tree_join)}
 ORACLE: dict[str, str] = {}
