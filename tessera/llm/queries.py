@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, repetition, site_tree, suffix_dedup, toxicity
+from . import (decontaminate, jaccard_join, license_scan, mixing, repetition, site_tree, suffix_dedup, token_counts,
+               toxicity)
 from .common import table
 
 
@@ -21,6 +22,10 @@ def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "copies"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,10 +38,14 @@ def op7_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op5_toxicity_lexicon,
-                                   op6_qgram_decontamination, op7_run_length_dedup, op10_signature_tree_join)}
+QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op4_license_scan, op5_toxicity_lexicon,
+                                   op6_qgram_decontamination, op7_run_length_dedup, op8_trie_token_counts, op10_signature_tree_join)}
 ORACLE: dict[str, str] = {}
