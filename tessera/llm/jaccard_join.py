@@ -59,8 +59,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     start, end, first = tb.word_spans(low, off)
     grams = tb.SpanHash(tb.SpanHash(tb.byte_codes(low))(start, end))
     n = np.diff(first)
-    i = np.arange(max(len(start) - SHINGLE + 1, 0))
-    h = grams(i, i + SHINGLE) if len(i) else np.zeros(0, dtype=np.uint64)
+    h = grams.windows(SHINGLE)
     out = []
     for k, a in zip(n.tolist(), first.tolist()):
         if k >= SHINGLE:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, jaccard_join, license_scan, mixing, repetition, site_tree, suffix_dedup, token_counts,
+from . import (attention_lm, decontaminate, jaccard_join, license_scan, mixing, repetition, site_tree, suffix_dedup, token_counts,
                toxicity)
 from .common import table
 
@@ -42,10 +42,15 @@ def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op4_license_scan, op5_toxicity_lexicon,
-                                   op6_qgram_decontamination, op7_run_length_dedup, op8_trie_token_counts, op10_signature_tree_join)}
+                                   op6_qgram_decontamination, op7_run_length_dedup, op8_trie_token_counts, op9_attention_lm,
+                                   op10_signature_tree_join)}
 ORACLE: dict[str, str] = {}

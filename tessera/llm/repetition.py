@@ -43,9 +43,7 @@ def _covered(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, n: int) ->
     i = np.arange(len(doc) - n + 1)
     i = i[i + n <= first[1:][doc[i]]]
     rep = i[tb.repeated(tb.mix(hashes[i] + doc[i].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))]
-    d = np.zeros(len(doc) + 1, dtype=np.int64)
-    np.add.at(d, rep, 1)
-    np.add.at(d, rep + n, -1)
+    d = np.bincount(rep, minlength=len(doc) + 1) - np.bincount(rep + n, minlength=len(doc) + 1)
     return np.cumsum(d)[:-1] > 0
 
 
@@ -86,8 +84,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     kept = out["dup_line_share"] <= MAX_LINE_SHARE
     word_total = np.maximum(out["word_chars"], 1)
     for n, most in MAX_SHARE.items():
-        i = np.arange(max(len(doc) - n + 1, 0))
-        cov = _covered(grams(i, i + n) if len(i) else words[:0], doc, first, n)
+        cov = _covered(grams.windows(n), doc, first, n)
         if n == 3:
             out["n_repeat_words"] = tb.per_text(cov, first)
         share = tb.per_text(chars * cov, first) / word_total

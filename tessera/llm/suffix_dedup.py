@@ -52,7 +52,7 @@ GRAM = 32
 HOT = 2000                   # distinct contexts of one anchor beyond which strings are counted one by one
 BUCKET_BYTES = 16 << 20      # bytes of text whose anchors a bucket is meant to hold
 INDEX_BYTES = 1 << 20        # bytes of context an index is meant to hold
-BLOOM_BITS = 1 << 23
+MAX_BITS = 1 << 27           # largest bitmap of places (16 MB)
 NO_ID = -(1 << 63)
 
 _LOW = np.uint64((1 << 32) - 1)
@@ -68,9 +68,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         z = np.zeros(0, dtype=np.int64)
         return z, z.astype(np.uint64), z, z, z.astype(np.uint64)
     sh = tb.SpanHash(tb.byte_codes(data))
-    i = np.arange(n)
-    h = sh(i, i + gram)
-    key = (h & ~_LOW) | i.astype(np.uint64)
+    h = sh.windows(gram)
+    key = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
     want, have = length - gram + 1, 1
     while have * 2 <= want:                 # smallest key of `have` neighbours, doubling
         key = np.minimum(key[:-have], key[have:]) if len(key) > have else key[:0]
@@ -138,51 +137,103 @@ def _classes(table: pa.Table) -> pa.Table:
     new = np.append(True, (g[1:] != g[:-1]) | (ctx[1:] != ctx[:-1]))
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     rep = (doc != doc[first]) | (lo != lo[first])
-    gs = g[new]
-    several = np.unique(gs[1:][gs[1:] == gs[:-1]]).view(np.int64)
+    at = np.flatnonzero(new)
+    gs = g[at]
+    more = np.append(gs[1:] == gs[:-1], False)
+    several = at[more | np.append(False, more[:-1])]      # first places of the contexts of such anchors
     start = lo[rep].astype(np.int64)
-    pad = np.zeros(len(several), dtype=np.int64)
     return pa.table({
         "kind": pa.array(np.repeat([REPEAT, OPEN], [int(rep.sum()), len(several)]).astype(np.int32)),
-        "doc": np.concatenate([doc[rep], several]), "lo": np.concatenate([start, pad]),
-        "hi": np.concatenate([start + v["n"][rep] + LENGTH, pad])})
+        "doc": np.concatenate([doc[rep], doc[several]]), "lo": np.concatenate([start, lo[several].astype(np.int64)]),
+        "hi": np.concatenate([start + v["n"][rep] + LENGTH, _place(doc[several], lo[several]).view(np.int64)])})
+
+
+def _place(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Hash of a place in the corpus."""
+    return tb.mix(doc.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ lo.astype(np.uint64))
+
+
+def _rows(g, doc, lo, ctx):
+    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(ctx, pa.binary())],
+                                      names=["g", "doc", "lo", "ctx"])
 
 
 def _contexts(it, wanted):
-    bloom = wanted.value
+    """Contexts whose place may be wanted (a bitmap of places by hash)."""
+    bloom = np.unpackbits(wanted.value, bitorder="little").view(bool)
+    bits = np.uint64(len(bloom) - 1)
     for batch in it:
         ids = _ids(batch.column(0))
         for r0, r1, data, off in tb.slices(batch.column(1)):
             doc, g, lo, hi, _ = anchors(data, off)
-            ok = bloom[(g & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] if len(g) else np.zeros(0, dtype=bool)
-            doc, g, lo, hi = doc[ok], g[ok], lo[ok], hi[ok]
+            if not len(g):
+                continue
+            d, at = ids[r0:r1][doc], lo - off[doc]
+            ok = np.flatnonzero(bloom[(_place(d, at) & bits).astype(np.int64)])
             raw = data.tobytes()
+            yield _rows(g[ok], d[ok], at[ok], [raw[x:y + LENGTH] for x, y in zip(lo[ok].tolist(), hi[ok].tolist())])
+
+
+def _all_contexts(it):
+    """Contexts at the places that come with each text."""
+    for batch in it:
+        ids = _ids(batch.column(0))
+        places = [np.array(x, dtype=np.int64) for x in batch.column(2).to_pylist()]
+        for r0, r1, data, off in tb.slices(batch.column(1)):
+            doc, g, lo, hi, _ = anchors(data, off)
             at = lo - off[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(ids[r0:r1][doc]), pa.array(at),
-                 pa.array([raw[x:y + LENGTH] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
-                names=["g", "doc", "lo", "ctx"])
+            cuts = np.searchsorted(doc, np.arange(r1 - r0 + 1))
+            ok = np.concatenate([x + np.flatnonzero(np.isin(at[x:y], places[r0 + k])) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+            raw = data.tobytes()
+            yield _rows(g[ok], ids[r0:r1][doc[ok]], at[ok], [raw[x:y + LENGTH] for x, y in zip(lo[ok].tolist(), hi[ok].tolist())])
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size of the anchors wanted (misses none; the join that
-    follows is exact)."""
-    words = (ids.select(F.shiftright(F.col("g").bitwiseAND(F.lit(BLOOM_BITS - 1)), 6).alias("w"),
-                        F.expr("shiftleft(1L, cast(g & 63 as int))").alias("v"))
+def _bitmap(open_: DataFrame, bits: int) -> np.ndarray:
+    """Packed bitmap of the wanted places (misses none; the join that follows
+    is exact).  The driver gets ``bits / 64`` words at most."""
+    words = (open_.select(F.shiftright(F.col("key").bitwiseAND(F.lit(bits - 1)), 6).alias("w"),
+                          F.expr("shiftleft(1L, cast(key & 63 as int))").alias("v"))
              .groupBy("w").agg(F.bit_or("v").alias("v")).toPandas())
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+    out = np.zeros(bits // 64, dtype=np.uint64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def _fetch(docs: DataFrame, open_: DataFrame, max_bits: int) -> DataFrame:
+    """``g, doc, lo, ctx`` of the open contexts (``doc, lo, key``).
+
+    While a bitmap of at most ``max_bits`` tells the places well enough, the
+    tasks that read the texts pick them; beyond, the places are joined to the
+    texts by document."""
+    n = open_.count()
+    bits = 1 << max(16, (16 * n).bit_length())
+    schema = "g long, doc long, lo long, ctx binary"
+    if bits <= max_bits:
+        packed = docs.sparkSession.sparkContext.broadcast(_bitmap(open_, bits))
+        picked = docs.mapInArrow(lambda it: _contexts(it, packed), schema)
+        return picked.join(open_.select("doc", "lo").distinct(), ["doc", "lo"], "left_semi").select("g", "doc", "lo", "ctx")
+    places = open_.groupBy("doc").agg(F.collect_list("lo").alias("places"))
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    return docs.join(places, key == F.col("doc")).select("doc_id", "text", "places").mapInArrow(_all_contexts, schema)
 
 
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse, by prefix doubling."""
     n = len(s)
-    rank = s.astype(np.int64) + 1
-    h = 1
+    # first rank by eight bytes at once; behind the end stands less than any byte
+    wide = np.zeros(n + 7, dtype=np.uint16)
+    wide[:n] = s
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | wide[k:k + n]
+    order = np.argsort(key, kind="stable")
+    r = np.cumsum(np.append(0, key[order][1:] != key[order][:-1])) + 1
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = r
+    h = 8
     while True:
         second = np.zeros(n, dtype=np.int64)
-        second[:n - h] = rank[h:]
+        second[:max(n - h, 0)] = rank[h:]
         key = rank * (max(n, 256) + 2) + second
         sa = np.argsort(key, kind="stable")
         k = key[sa]
@@ -277,7 +328,7 @@ def _indexed(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc, lo, hi``: spans of bytes to remove (they may overlap), by
     ``doc_id`` (null as the smallest number)."""
     docs = texts(docs)
@@ -287,13 +338,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(lambda it: _packed(it, n_buckets), "bucket long, g binary, ctx binary, doc binary, lo binary, n binary")
         .groupBy("bucket").applyInArrow(_classes, "kind int, doc long, lo long, hi long"))
     whole = found.filter(F.col("kind") == REPEAT).select("doc", "lo", "hi")
-    open_ = found.filter(F.col("kind") == OPEN).select(F.col("doc").alias("g"))
-
-    packed = docs.sparkSession.sparkContext.broadcast(_bloom(open_))
-    first = F.min(F.struct("doc", "lo")).alias("f")
-    ctx = cut_lineage(docs.mapInArrow(lambda it: _contexts(it, packed), "g long, doc long, lo long, ctx binary")
-                      .join(open_, "g", "left_semi").groupBy("g", "ctx").agg(first)
-                      .select("g", "ctx", F.col("f.doc").alias("doc"), F.col("f.lo").alias("lo")))
+    open_ = found.filter(F.col("kind") == OPEN).select("doc", "lo", F.col("hi").alias("key"))
+    ctx = cut_lineage(_fetch(docs, open_, max_bits))
     many = ctx.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ctx")).alias("bytes"))
     n_parts = max(8, -(-int(many.agg(F.sum("bytes")).first()[0] or 0) // INDEX_BYTES))
     hot = many.filter(F.col("n") > HOT).select("g")

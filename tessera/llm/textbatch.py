@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,10 +28,11 @@ _POWERS: dict[int, np.ndarray] = {}
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _M2
-    return x ^ (x >> np.uint64(31))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -61,6 +62,17 @@ class SpanHash:
         return mix(h ^ mix((end - start).astype(np.uint64) + np.uint64(1)))
 
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all spans of ``size`` codes, by start."""
+        n = len(self.sums) - size
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        h = self.sums[size:] - self.sums[:n]
+        h *= self.inv[:n]
+        h ^= mix(np.array([size + 1], dtype=np.uint64))
+        return mix(h)
+
+
 def byte_codes(data: np.ndarray) -> np.ndarray:
     return _CODES[data]
 
