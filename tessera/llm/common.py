@@ -9,6 +9,7 @@ from ..session import bounded_count
 
 #: a table of at most this many short rows is broadcast; a larger one is joined by shuffle
 SMALL_ROWS = 50_000
+SMALL_IDS = 300_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,10 +24,12 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (null-safe, adds no column)."""
-    one = ids.select(F.col(key).alias("__id")).distinct()
-    return docs.join(one, docs[key].eqNullSafe(F.col("__id")), "left_semi")
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is (``left_anti``: isn't) in the
+    column ``doc_id`` of ``ids``; null ids are equal, no column is added.
+    Up to ``SMALL_IDS`` ids are broadcast, more are joined by shuffle."""
+    one = small(ids.select(F.col("doc_id").cast("long").alias("__id")).distinct(), SMALL_IDS)
+    return docs.join(one, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), how)
 
 
 def unit_hash(*cols: Column, seed: int) -> Column:

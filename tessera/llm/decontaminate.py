@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import textbatch as tb
-from .common import texts
+from .common import texts, with_ids
 
 Q = 10
 EDIT_RATE = 0.08
@@ -280,5 +281,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a benchmark passage (all columns)."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    return with_ids(docs, cut_lineage(contaminated(docs, benchmark)), "left_anti")

@@ -20,6 +20,8 @@ component of links each document belongs to.
    inner nodes the OR of the bitmaps and the range of the sizes; a dual
    traversal drops pairs of nodes that lie in one component or whose largest
    possible overlap is too small.  What is left is verified like the star.
+   Before either verification, bitmaps of the whole sets (2 to 4 bits a
+   shingle) rule out most pairs that don't link.
 5. Components of all links by label propagation with pointer jumping.
 
 Only classes in a verified pair's neighbourhood ever move their whole sets,
@@ -41,11 +43,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import textbatch as tb
-from .common import texts
+from .common import texts, with_ids
 
 SHINGLE = 5
 PERCENT = 75
-BUCKET_HASHES = 500_000      # prefix shingles a bucket is meant to hold
+BUCKET_HASHES = 300_000      # prefix shingles a bucket is meant to hold
 SAMPLE_SHARE = 64            # one document in so many is sampled for the order
 SAMPLE_LEAST = 3             # sampled documents that make a shingle frequent
 MAX_FREQUENT = 1 << 16       # frequent shingles that the order knows
@@ -88,14 +90,23 @@ def pair_overlap(a, b):
     return -((-PERCENT * (a + b)) // (100 + PERCENT))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's shingles by their low bits, in 2 to 4 bits a shingle."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    out = np.zeros(bits, dtype=bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def _light(it):
     for batch in it:
         for lo, hi, data, off in tb.slices(batch.column(1)):
             sets = shingle_sets(data, off)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "sid"])
+                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([bitmap(s) for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "sid", "bitmap"])
 
 
 def _sampled(it):
@@ -305,6 +316,29 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _plausible(it):
+    """Pairs whose bitmaps leave room for a link: a bit of one that the other
+    lacks is a shingle it lacks (the wider bitmap is folded)."""
+    for batch in it:
+        keep = []
+        for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            while len(x) > len(y):
+                x = x[:len(x) // 2] | x[len(x) // 2:]
+            while len(y) > len(x):
+                y = y[:len(y) // 2] | y[len(y) // 2:]
+            o = pair_overlap(na, nb)
+            keep.append(int(np.bitwise_count(x & ~y).sum()) <= na - o and int(np.bitwise_count(y & ~x).sum()) <= nb - o)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that the bitmaps of the whole sets don't rule out."""
+    by = classes.select("sid", "size", "bitmap")
+    both = pairs.join(by.toDF("a", "na", "ba"), "a").join(by.toDF("b", "nb", "bb"), "b")
+    return cut_lineage(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_plausible, "a long, b long"))
+
+
 def _exact(it):
     for batch in it:
         keep = []
@@ -351,14 +385,14 @@ def components(links: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     docs = texts(docs)
-    light = cut_lineage(docs.mapInArrow(_light, "doc_id long, n_shingles long, sid long"))
+    light = cut_lineage(docs.mapInArrow(_light, "doc_id long, n_shingles long, sid long, bitmap binary"))
     total = light.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(16, -(-int(total) // (4 * BUCKET_HASHES)))
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs))
     grouped = cut_lineage(docs.mapInArrow(lambda it: _prefixes(it, frequent, n_buckets), "bucket long, h binary, sid binary")
                           .groupBy("bucket").applyInArrow(_group, GROUPED))
-    sizes = light.filter("sid is not null").groupBy("sid").agg(F.first("n_shingles").alias("size"))
+    sizes = light.filter("sid is not null").groupBy("sid").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
     classes = cut_lineage(grouped.filter(F.col("kind") == SHARED).groupBy(F.col("x").alias("sid"))
                           .agg(F.sum("n").alias("shared"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(4)])
                           .join(sizes, "sid"))
@@ -371,31 +405,37 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     star = (star.join(by.toDF("a", "na", "ra"), "a").join(by.toDF("b", "nb", "rb"), "b")
             .filter((100 * one >= PERCENT * two) & (100 * two >= PERCENT * one))
             .filter(F.least("ra", "rb") >= F.least(need(one, two), need(two, one))).select("a", "b"))
-    links = verified(cut_lineage(star), docs)
+    links = verified(plausible(star, classes), docs)
     comps = components(links)
 
     member = (grouped.filter(F.col("kind") == MEMBER).select(F.col("x").alias("h"), F.col("y").alias("sid"))
               .join(comps.withColumnRenamed("id", "sid"), "sid", "left")
               .withColumn("root", F.coalesce("root", "sid")))
     open_ = member.groupBy("h").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("h")
-    rest = member.join(open_, "h").join(classes, "sid")
+    rest = member.join(open_, "h").join(classes.drop("bitmap"), "sid")
     more = (rest.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_buckets))).groupBy("part")
             .applyInArrow(_tree_join, "a long, b long").distinct().join(links, ["a", "b"], "left_anti"))
-    more = cut_lineage(more)
+    more = plausible(more, classes)
     if more.limit(1).count():
         found = verified(more, docs)
         if found.limit(1).count():
             comps = components(links.union(found))
 
-    named = light.join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = light.drop("bitmap").join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     name = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (named.join(name, "root", "left")
             .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest id (all columns
-    of ``docs``); rows that repeat an id leave one."""
-    keep = (similarity_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of each component's smallest id (all columns of ``docs``); of
+    rows that repeat id and text one stays.  Rows without an id stay unless
+    their component has a row with one."""
+    found = cut_lineage(similarity_components(docs))
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = with_ids(docs, keep)
+    # only a table that repeats ids needs another exchange of its texts
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    if not again:
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id is null"))

@@ -113,3 +113,17 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
     none = x.filter(F.col("pi") <= 0).select(*cols, F.col("certain").alias("copies"))
     out = done.select(*cols, "copies").unionByName(none)
     return out.select(*cols, F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def copies(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it,
+    with ``copy`` 1, 2, ... (rows that repeat id, source and text share what
+    their group was given, the first of them first)."""
+    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string"))]
+    got = (mix(docs, seed, weights, share, most).filter("copies > 0")
+           .groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+           .toDF("__d", "__s", "__n", "__copies", "__rows"))
+    same = key[0].eqNullSafe(F.col("__d")) & key[1].eqNullSafe(F.col("__s")) & (key[2] == F.col("__n"))
+    every = F.ceil(F.col("__copies") / F.col("__rows"))
+    return (docs.join(got, same).withColumn("copy", F.explode(F.sequence(F.lit(1), every.cast("int"))))
+            .select(*docs.columns, "copy"))

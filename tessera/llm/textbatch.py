@@ -81,10 +81,13 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
     """``(first row, last row + 1, bytes, offsets)`` of runs of rows whose
     texts are at most ``limit`` bytes together (a longer text is a run of its
     own).  Null texts are empty."""
-    col = col.cast(pa.large_string()).fill_null("")
+    if col.null_count:
+        col = col.fill_null("")
     if len(col) == 0:
         return
-    off = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset: col.offset + len(col) + 1]
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    off = np.frombuffer(col.buffers()[1], dtype=np.int64 if wide else np.int32)[col.offset: col.offset + len(col) + 1]
+    off = off.astype(np.int64)
     buf = col.buffers()[2]
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, dtype=np.uint8)
     lo = 0

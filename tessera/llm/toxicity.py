@@ -194,3 +194,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     score = 1 / (1 + F.pow(F.lit(cut) / F.greatest(F.col("raw"), F.lit(cut / 1e6)), F.lit(STEEPNESS)))
     return raws.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                        score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows of ``docs`` that aren't predicted toxic (all columns).  A row is
+    judged by its own text, so nothing is joined."""
+    judged = texts(docs)
+    learn = labelled_sample(judged, labels, sample)
+    lexicon = learn_lexicon(learn)
+    cut = max(cut_point(learn, lexicon), 1e-3)
+
+    def clean(it):
+        scan = Scanner(lexicon)
+        for batch in it:
+            at = batch.schema.names.index("text")
+            yield batch.filter(pa.array([scan.raw(t or "") < cut for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
