@@ -14,25 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_count
-
 BLOCK_ROWS = 1 << 14          # rows per block of one key
-BROADCAST_ROWS = 200_000      # small side joined by broadcast up to this many rows
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-               limit: int | None = None) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-group summary (one row per key) back to its detail rows.
 
     No broadcast hint: adaptive execution measures the finished summary
     stage and switches to a broadcast join only when its real size is under
     ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
     shuffled join, and a hot key on the detail side is split by the
-    skew-join rule.  With ``limit`` the summary is counted first (one extra
-    job) and hinted when it has at most ``limit`` rows.
+    skew-join rule.
     """
-    if limit is not None and bounded_count(small, limit) <= limit:
-        small = F.broadcast(small)
     return big.join(small, list(on), how)
 
 

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors: the session's ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always read, never
-    overridden.  Only when it is unset (local tests) do we create one.
+    overridden.  Only a local session without it (tests) gets a folder of its
+    own; on a cluster a machine-local folder would be wrong, so that raises.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         # named by the session only: apply it so that checkpoint() uses it
         sc.setCheckpointDir(d)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

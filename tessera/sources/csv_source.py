@@ -1,13 +1,18 @@
 """Many CSV files -> long-form ``sheet_rows``.
 
 Files have different headers, so they are read without a header under one
-wide all-string schema (``max_columns`` wide) with quoted multi-line fields.
-Row order is the file order: a multi-line CSV file is never split, so the
-ids from ``monotonically_increasing_id`` are consecutive within a file, and
-``row_idx`` is the id minus the file's smallest id (a per-file ``min``, not
-a window).  The first line of each file becomes its ``columns``; blank
-header cells are named ``Unnamed: <i>``.  Empty fields are null; all cells
-stay strings.
+wide all-string schema with quoted multi-line fields.  The schema is as wide
+as the widest line of the files (a cheap text scan counts separators), so no
+column is ever cut; a header that spans lines and is wider still raises.  Row
+order is the file order: a multi-line CSV file is never split, so the ids from
+``monotonically_increasing_id`` are consecutive within a file, and ``row_idx``
+is the id minus the file's smallest id (a per-file ``min``, not a window).
+
+The first record of each file becomes its ``columns``: as many as it has
+fields (blank ones at the end count), more if a row is longer; blank names are
+``Unnamed: <i>``, a name that was there before gets ``.1``, ``.2`` and so on.
+Empty fields and the usual markers of a missing value are null; all other
+cells stay strings.
 """
 
 from __future__ import annotations
@@ -20,37 +25,66 @@ from ..operators.scan import join_small
 
 CSV_SHEET = "CSV"            # fixed value: sheet label of a CSV file
 UNNAMED = "Unnamed: "        # fixed value: name of a blank header cell
-DEFAULT_MAX_COLUMNS = 64
+# fixed values: texts that a table reader takes as a missing cell
+MISSING_MARKERS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                   "NULL", "NaN", "None", "n/a", "nan", "null")
+_RAW = "_raw_record"
+
+
+def _fields(record):
+    """Number of fields of a raw record (separators outside quotes, plus one)."""
+    bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def max_fields(spark: SparkSession, paths) -> int:
+    """Upper bound of the fields of any one-line record of the files."""
+    lines = spark.read.text(paths)
+    return lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))).alias("n")).first()["n"] or 0
+
+
+def column_names(names):
+    """Header cells as column names: blanks numbered, repeats suffixed."""
+    named = F.transform(names, lambda c, i: F.coalesce(c, F.concat(F.lit(UNNAMED), i.cast("string"))))
+
+    def suffixed(c, i):
+        before = F.size(F.filter(F.slice(named, 1, i), lambda x: x == c))
+        return F.when(before > 0, F.concat(c, F.lit("."), before.cast("string"))).otherwise(c)
+
+    return F.transform(named, suffixed)
 
 
-def read_csv_sheets(spark: SparkSession, paths, max_columns: int = DEFAULT_MAX_COLUMNS,
-                    sheet_label: str = CSV_SHEET, source_col: str | None = None) -> DataFrame:
+def read_csv_sheets(spark: SparkSession, paths, sheet_label: str = CSV_SHEET, source_col: str | None = None,
+                    missing: tuple[str, ...] = MISSING_MARKERS) -> DataFrame:
     """``sheet_rows`` for CSV files (``paths``: a folder, glob or list)."""
-    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(max_columns)])
+    paths = paths if isinstance(paths, (str, list)) else list(paths)
+    width = max_fields(spark, paths) + 1
+    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(width)] + [T.StructField(_RAW, T.StringType())])
     raw = (spark.read.schema(schema)
            .option("header", "false").option("multiLine", "true")
            .option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE")
-           .csv(paths if isinstance(paths, (str, list)) else list(paths)))
-    cells = F.array(*[F.col(f"_f{i}") for i in range(max_columns)])
-    x = raw.select(F.col("_metadata.file_path").alias("source"), cells.alias("__cells"),
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RAW)
+           .csv(paths))
+    cells = F.array(*[F.col(f"_f{i}") for i in range(width)])
+    x = raw.select(F.col("_metadata.file_path").alias("source"), cells.alias("__cells"), F.col(_RAW).alias("__raw"),
                    F.monotonically_increasing_id().alias("__id"))
-    # width = last non-null field over the file (header included)
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(max_columns)), F.lit(0),
+    # last non-null field of a row; the reader keeps the raw record of rows that are shorter than the schema
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
                        lambda acc, i: F.when(F.element_at("__cells", i).isNotNull(), i).otherwise(acc))
-    x = x.withColumn("__last", last)
-    per_file = x.groupBy("source").agg(F.min("__id").alias("__first"), F.max("__last").alias("__width"))
+    x = x.withColumn("__last", last).withColumn("__n", F.coalesce(_fields(F.col("__raw")), F.lit(width)))
+    per_file = x.groupBy("source").agg(F.min("__id").alias("__first"), F.max("__last").alias("__longest"),
+                                       F.min_by("__n", "__id").alias("__header"))
+    wide = F.greatest("__longest", "__header")
+    per_file = per_file.withColumn("__width", F.when(wide <= width, wide).otherwise(
+        F.raise_error(F.concat(F.lit("header spans lines and is wider than any line: "), F.col("source")))))
     x = join_small(x, per_file, ["source"]).withColumn("__idx", F.col("__id") - F.col("__first"))
-    x = x.withColumn("__cells", F.slice("__cells", 1, F.col("__width")))
-    header = (x.where(F.col("__idx") == 0)
-               .select("source", F.transform("__cells", lambda c, i: F.coalesce(c, F.concat(F.lit(UNNAMED), i.cast("string"))))
-                       .alias("columns")))
+    x = x.withColumn("__cells", F.slice("__cells", 1, F.col("__width").cast("int")))
+    header = x.where(F.col("__idx") == 0).select("source", column_names(F.col("__cells")).alias("columns"))
     rows = x.where(F.col("__idx") > 0)
+    if missing:
+        rows = rows.withColumn("__cells", F.transform("__cells", lambda c: F.when(~c.isin(*missing), c)))
     out = join_small(rows, header, ["source"])
-    if source_col is None:
-        src = F.col("source")
-    else:
-        src = F.col(source_col)
+    src = F.col("source") if source_col is None else F.col(source_col)
     return out.select(src.alias("source"), F.lit(sheet_label).alias("sheet"), F.lit(0).cast("bigint").alias("sheet_pos"),
                       (F.col("__idx") - 1).cast("bigint").alias("row_idx"), "columns",
                       F.col("__cells").alias("cells"))

@@ -1,6 +1,11 @@
 """Route files by extension, scan them into sheets, chunk
 them, and log every file's outcome.
 
+A document is known by its path relative to the folder that is ingested, so
+files of equal names in different sub-folders stay apart.  One recursive
+listing feeds the scan and the log, whichever job asks (folder ingest, store
+rebuild, adding documents, stream).
+
 The folder ingest is one Spark job graph: CSV files are read by Spark's CSV
 reader, workbooks by the workbook scan; files that cannot be read become
 ``ingest_log`` rows instead of stopping the job (``strict=True`` fails it).
@@ -8,6 +13,9 @@ reader, workbooks by the workbook scan; files that cannot be read become
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +24,7 @@ from ..operators.chunk_marker import chunk_by_marker
 from ..operators.chunk_recursive import chunk_recursive
 from ..operators.chunk_tokens import chunk_by_tokens
 from ..operators.scan import join_small
+from ..schema import SHEET_ROWS
 from .csv_source import read_csv_sheets
 from .files import list_files, read_files
 from .workbook import read_workbooks
@@ -57,49 +66,68 @@ def chunk(rows: DataFrame, method: str = METHOD_TOKENS, **kw) -> DataFrame:
     raise ValueError(f"unknown chunking method {method!r}")
 
 
-def scan_folder(spark: SparkSession, root: str, source_name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """``(sheet_rows, file_errors)`` for every supported file under ``root``.
+def relative_path(path, root: str):
+    """Path of a file below ``root`` (decoded; the scheme doesn't matter)."""
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*", "/")
+    base = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*", "/", root).rstrip("/") + "/"
+    full = plain(F.col(path) if isinstance(path, str) else path)
+    return F.when(full.startswith(base), F.substr(full, F.lit(len(base) + 1))).otherwise(tx.file_name(full))
+
+
+def list_documents(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """Every file under ``root`` with its relative path as ``name``,
+    its kind and whether it can be read."""
+    files = list_files(spark, root).withColumn("name", relative_path("path", root))
+    return route(files, strict=strict)
+
 
-    ``source`` is the file name (``source_name="name"``) or its full path.
+def scan_folder(spark: SparkSession, root: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(sheet_rows, file_errors)`` for every supported file under
+    ``root``, sub-folders included (or for the given files below it).
+
+    ``source`` is the path relative to ``root``.
     """
-    csv_rows = _csv_rows(spark, root)
+    chosen = lambda ext: [p for p in paths if p.lower().endswith(ext)] if paths is not None else None
+    parts, errors = [], spark.createDataFrame([], "path string, error string")
+    csv = _found(lambda: _csv_paths(spark, root) if paths is None else chosen(".csv"))
+    if csv:
+        parts.append(read_csv_sheets(spark, csv))
+    if paths is None:
+        books = _found(lambda: read_files(spark, root, XLSX_GLOB))
+    else:
+        names = chosen(".xlsx")
+        books = spark.read.format("binaryFile").load(names).select("path", "length", "content") if names else None
+    if books is not None:
+        wb = read_workbooks(books)
+        parts.append(wb.where(F.col("error").isNull()).drop("error"))
+        errors = wb.where(F.col("error").isNotNull()).select(F.col("source").alias("path"), "error")
+    if not parts:
+        rows = spark.createDataFrame([], SHEET_ROWS)
+    else:
+        rows = reduce(DataFrame.unionByName, parts).withColumn("source", relative_path("source", root))
+    return rows, errors.withColumn("path", relative_path("path", root))
+
+
+def _found(read):
+    """``read()``, or nothing when no file matches."""
     try:
-        wb = read_workbooks(read_files(spark, root, XLSX_GLOB))
+        return read()
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-        wb = None
-    if wb is None:
-        empty = spark.createDataFrame([], "path string, error string")
-        if csv_rows is None:
-            raise ValueError(f"no CSV or workbook file under {root}")
-        rows = csv_rows
-        if source_name == "name":
-            rows = rows.withColumn("source", tx.file_name("source"))
-        return rows, empty
-    wb_rows = wb.where(F.col("error").isNull()).drop("error")
-    errors = wb.where(F.col("error").isNotNull()).select(F.col("source").alias("path"), "error")
-    rows = csv_rows.unionByName(wb_rows) if csv_rows is not None else wb_rows
-    if source_name == "name":
-        rows = rows.withColumn("source", tx.file_name("source"))
-        errors = errors.withColumn("path", tx.file_name("path"))
-    return rows, errors
-
-
-def _csv_rows(spark: SparkSession, root: str) -> DataFrame | None:
-    # Spark's file index lists the folder; only the glob pattern is passed on
-    try:
-        return read_csv_sheets(spark, f"{root.rstrip('/')}/{CSV_GLOB}")
-    except Exception as e:  # no CSV file in the folder
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return None
         raise
 
 
+def _csv_paths(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the CSV files under ``root``: what a reader's file listing
+    holds in the driver anyway."""
+    return [r["path"] for r in list_files(spark, root, CSV_GLOB).select("path").collect()]
+
+
 def ingest_folder(spark: SparkSession, root: str, method: str = METHOD_MARKER,
                   strict: bool = False, **chunk_kw) -> tuple[DataFrame, DataFrame]:
     """``(chunks, ingest_log)``; bad files are logged, the rest go on."""
-    files = route(list_files(spark, root, recursive=False), strict=strict)
+    files = list_documents(spark, root, strict)
     rows, errors = scan_folder(spark, root)
     chunks = chunk(rows, method, **chunk_kw)
     return chunks, ingest_log(files, rows, chunks, errors)

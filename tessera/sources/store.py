@@ -1,21 +1,28 @@
 """The vector table (Parquet) and the jobs that fill it.
 
+* A document is its ``source`` (path relative to the ingested folder); its
+  version is a hash of its chunks.  ``chunk_id`` is what users see; it need
+  not be unique across documents.
 * ``write_vectors(mode="overwrite")`` is the snapshot (S9) and the default
-  of a rebuild (S10), so re-running never duplicates rows;
-* ``append_vectors`` (S8/S11) appends only ``chunk_id``s not yet stored
-  (left-anti join against the stored ids), so a retried or repeated ingest
-  is idempotent;
-* ``rebuild_store`` is one job from a folder of files to the table; no
-  driver loop over files.
+  of a rebuild (S10), so re-running never duplicates rows.
+* ``append_vectors`` (S8/S11) adds the documents whose version is not the
+  stored one, under the next ingest number; ``load_vectors`` returns each
+  document's latest version.  So a retried ingest adds nothing, an edited
+  file replaces its old chunks, and files of equal names stay apart.  Rows are
+  only ever added, never rewritten.
+* ``rebuild_store`` and ``add_documents`` write one log row per listed file
+  beside the table (``<path>_log``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.embed import DEFAULT_DIM, embed_chunks
+from ..operators.scan import join_small
 from ..session import cut_lineage
-from .ingest import METHOD_TOKENS, chunk, scan_folder
+from .ingest import METHOD_TOKENS, chunk, ingest_log, list_documents, scan_folder
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,37 +40,93 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+VERSION, NUMBER = "doc_version", "ingest_no"
+
+
+def _versions(chunks: DataFrame) -> DataFrame:
+    """``source, doc_version``: a hash of the set of a document's chunks."""
+    parts = [c for c in ("chunk_id", "content", "embedding") if c in chunks.columns]
+    return chunks.groupBy("source").agg(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64(*parts))).alias(VERSION))
+
+
+def _latest(stored: DataFrame) -> DataFrame:
+    """``source, ingest_no, doc_version`` of each document's last ingest."""
+    return (stored.groupBy("source").agg(F.max(F.struct(NUMBER, VERSION)).alias("l"))
+            .select("source", F.col("l." + NUMBER).alias(NUMBER), F.col("l." + VERSION).alias(VERSION)))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its helper columns (a snapshot has ingest number 0)."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    if NUMBER not in df.columns:
+        df = df.withColumn(NUMBER, F.lit(0).cast("bigint")).withColumn(VERSION, F.lit(None).cast("string"))
+    return df.withColumn(NUMBER, F.coalesce(NUMBER, F.lit(0).cast("bigint")))
+
+
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Every document's latest rows, without the helper columns."""
+    df = _stored(spark, path)
+    if "source" not in df.columns:
+        return df.drop(NUMBER, VERSION)
+    last = _latest(df).select("source", NUMBER)
+    return join_small(df, last, ["source", NUMBER], "left_semi").drop(NUMBER, VERSION)
 
 
 def append_vectors(vectors: DataFrame, path: str) -> DataFrame:
-    """Append rows whose ``chunk_id`` is not stored yet; returns what was added."""
+    """Append the documents that are new or differ from what is stored;
+    returns the rows added.  A table without ``source`` (plain vectors) is
+    appended by ``chunk_id``."""
     spark = vectors.sparkSession
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select("chunk_id")
-        new = vectors.join(stored, "chunk_id", "left_anti")
-    else:
+    if "source" not in vectors.columns:
         new = vectors
+        if _exists(spark, path):
+            new = vectors.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
+        new = cut_lineage(new.select(*vectors.columns))
+        new.write.mode("append").parquet(path)
+        return new
+    number, new = 1, vectors.join(_versions(vectors), "source")
+    if _exists(spark, path):
+        stored = _stored(spark, path)
+        last = _latest(stored)
+        # a snapshot has no versions yet: they follow from its rows
+        known = (last.filter(F.col(VERSION).isNotNull())
+                 .unionByName(last.filter(F.col(VERSION).isNull()).drop(VERSION)
+                              .join(_versions(stored.filter(F.col(NUMBER) == 0)), "source").select("source", NUMBER, VERSION)))
+        number = (stored.agg(F.max(NUMBER)).first()[0] or 0) + 1
+        new = new.join(known.select("source", VERSION), ["source", VERSION], "left_anti")
     # fix the new rows before writing: read lazily afterwards, the anti-join
     # would see them in the store and report nothing added
-    new = cut_lineage(new.select(*vectors.columns))
+    new = cut_lineage(new.select(*vectors.columns, VERSION, F.lit(number).cast("bigint").alias(NUMBER)))
     new.write.mode("append").parquet(path)
-    return new
+    return new.drop(VERSION, NUMBER)
+
+
+def _ingest(spark: SparkSession, root: str, method: str, chunk_kw: dict) -> tuple[DataFrame, DataFrame]:
+    """Chunks of every file under ``root`` (written once) and the log."""
+    rows, errors = scan_folder(spark, root)
+    chunks = cut_lineage(chunk(rows, method, **chunk_kw))
+    return chunks, ingest_log(list_documents(spark, root), rows, chunks, errors)
 
 
 def rebuild_store(spark: SparkSession, root: str, path: str, method: str = METHOD_TOKENS,
                   dim: int = DEFAULT_DIM, **chunk_kw) -> DataFrame:
     """All files under ``root`` -> sheets -> chunks -> vectors -> overwrite."""
-    rows, _errors = scan_folder(spark, root)
-    vectors = embed_chunks(chunk(rows, method, **chunk_kw), dim)
-    write_vectors(vectors, path, "overwrite")
+    chunks, log = _ingest(spark, root, method, chunk_kw)
+    write_vectors(embed_chunks(chunks, dim), path, "overwrite")
+    log.write.mode("overwrite").parquet(log_path(path))
     return load_vectors(spark, path)
 
 
 def add_documents(spark: SparkSession, root: str, path: str, method: str = METHOD_TOKENS,
                   dim: int = DEFAULT_DIM, **chunk_kw) -> DataFrame:
-    """S11 (batch): chunk and embed the files under ``root`` and append the
-    new chunks."""
-    rows, _errors = scan_folder(spark, root)
-    return append_vectors(embed_chunks(chunk(rows, method, **chunk_kw), dim), path)
+    """S11 (batch): chunk and embed the files under ``root``; new and changed
+    documents are added."""
+    chunks, log = _ingest(spark, root, method, chunk_kw)
+    added = append_vectors(embed_chunks(chunks, dim), path)
+    log.write.mode("append").parquet(log_path(path))
+    return added
+
+
+def log_path(path: str) -> str:
+    """Where the ingest log of a store lies."""
+    return path.rstrip("/") + "_log"

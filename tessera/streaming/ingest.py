@@ -5,20 +5,20 @@ drives ``foreachBatch``: each micro-batch's new files are scanned into
 sheets, chunked and embedded, and written under ``epoch=<batch_id>`` with
 ``overwrite``, so a replayed epoch replaces its own output instead of
 appending twice (exactly-once per file together with the checkpoint).
-K1/K3 need whole sheets, and a file never spans micro-batches, so chunking
+Every file of a batch gets a row in the log beside the output
+(``<output>_log``), readable or not.  K1/K3 need whole sheets, and a file never spans micro-batches, so chunking
 per micro-batch is exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.embed import DEFAULT_DIM, embed_chunks
-from ..sources.csv_source import read_csv_sheets
-from ..sources.ingest import CSV_GLOB, METHOD_TOKENS, chunk
-from ..functions import text as tx
+from ..session import cut_lineage
+from ..sources.ingest import METHOD_TOKENS, chunk, ingest_log, relative_path, route, scan_folder
+from ..sources.store import log_path
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -33,7 +33,7 @@ def ingest_stream(spark: SparkSession, input_dir: str, output_path: str, checkpo
                   available_now: bool = True, **chunk_kw):
     """Start the stream; returns the ``StreamingQuery``."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("pathGlobFilter", CSV_GLOB)
+             .option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", max_files_per_trigger)
              .load(input_dir)
              .select("path"))
@@ -43,9 +43,13 @@ def ingest_stream(spark: SparkSession, input_dir: str, output_path: str, checkpo
         paths = [r["path"] for r in batch.select("path").collect()]
         if not paths:
             return
-        rows = read_csv_sheets(spark, paths).withColumn("source", tx.file_name("source"))
-        vec = embed_chunks(chunk(rows, method, **chunk_kw), dim)
-        vec.withColumn("epoch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output_path}/epoch={batch_id}")
+        listed = route(spark.createDataFrame([(p,) for p in paths], "path string")
+                       .withColumn("name", relative_path("path", input_dir)))
+        rows, errors = scan_folder(spark, input_dir, paths)
+        chunks = cut_lineage(chunk(rows, method, **chunk_kw))
+        embed_chunks(chunks, dim).write.mode("overwrite").parquet(f"{output_path}/epoch={batch_id}")
+        log = ingest_log(listed, rows, chunks, errors)
+        log.write.mode("overwrite").parquet(f"{log_path(output_path)}/epoch={batch_id}")
 
     w = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
