@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (attention_lm, decontaminate, jaccard_join, license_scan, mixing, repetition, site_tree, suffix_dedup, token_counts,
+from . import (attention_lm, decontaminate, jaccard_join, license_scan, mixing, oracle, repetition, site_tree, suffix_dedup, token_counts,
                toxicity)
 from .common import table
 
@@ -53,4 +53,8 @@ def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op4_license_scan, op5_toxicity_lexicon,
                                    op6_qgram_decontamination, op7_run_length_dedup, op8_trie_token_counts, op9_attention_lm,
                                    op10_signature_tree_join)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_repetition_rules": oracle.repetition(repetition.MAX_SHARE, repetition.MAX_LINE_SHARE),
+    "op3_pareto_mixing": oracle.mixing(mixing.SEED, mixing.WEIGHTS, mixing.SHARE, mixing.MOST_COPIES),
+    "op10_signature_tree_join": oracle.components(jaccard_join.SHINGLE, jaccard_join.PERCENT),
+}
