@@ -5,10 +5,12 @@ the marker text.  Rows before the first marker form a preamble section;
 every marker row opens a section that runs to the next marker.  A sheet
 without any marker becomes one ``Full Sheet`` chunk.
 
-Plan: one skew-safe running count of markers (section id, W1), one group-by
-of ``(source, sheet, section)`` for bounds, counts, label and ordered text
-(two-level, so a huge section never sits in one task), then a per-sheet
-aggregate of the section table joined back for the per-sheet facts.
+Plan: one skew-safe running count of markers over light columns (section id,
+W1), written once; one group-by of ``(source, sheet, section)`` for bounds,
+counts and label; a per-sheet aggregate of the section table joined back; ids.
+The text follows last: the rows join their section and are put together in
+two levels (blocks of a section in parallel; the finished text of a section is
+one row, as the rule asks for).
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .ids import assign_chunk_ids
+from ..session import cut_lineage
+from .ids import chunk_layout, with_chunk_ids
 from .scan import join_small, ordered_text, running_sum
 
 # Fixed values of the marker chunker's output.
@@ -36,28 +39,31 @@ def mark_sections(rows: DataFrame, marker: str = DEFAULT_MARKER) -> DataFrame:
     return running_sum(x, ["source", "sheet"], "row_idx", "is_marker", "section")
 
 
-def sections(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bool = True) -> DataFrame:
-    """One row per section with bounds, counts, label and (optionally) text."""
-    x = mark_sections(rows, marker)
-    x = x.withColumn("__label", F.when(F.col("is_marker") == 1, tx.section_label("cells", marker)))
-    keys = ["source", "sheet", "section"]
-    side = [
-        (F.min("row_idx"), "min", "first_idx"),
-        (F.max("row_idx"), "max", "last_idx"),
-        (F.count(F.lit(1)), "sum", "n_rows"),
-        (F.max("__label"), "max", "label"),
-        (F.max("columns"), "max", "columns"),
-        (F.max("sheet_pos"), "max", "sheet_pos"),
-    ]
-    if with_text:
-        x = x.withColumn("__line", tx.row_labelled_text("row_idx", "columns", "cells"))
-        return ordered_text(x, keys, "row_idx", "__line", "\n", "body", extra_aggs=side)
-    return x.groupBy(*keys).agg(*[e.alias(a) for e, _c, a in side])
+def _marks(rows: DataFrame, marker: str) -> DataFrame:
+    """Section and label of every row, without its cells."""
+    is_marker = tx.has_marker_cell("cells", marker)
+    x = rows.select("source", "sheet", "sheet_pos", "row_idx", is_marker.cast("int").alias("is_marker"),
+                    F.when(is_marker, tx.section_label("cells", marker)).alias("label"))
+    return running_sum(x, ["source", "sheet"], "row_idx", "is_marker", "section")
+
+
+SECTION = ["source", "sheet", "section"]
+
+
+def section_text(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """K5: ordered labelled text of every section, and its columns."""
+    x = rows.select("source", "sheet", "row_idx", "columns", "cells").join(
+        marks.select("source", "sheet", "row_idx", "section"), ["source", "sheet", "row_idx"])
+    x = x.withColumn("__line", tx.row_labelled_text("row_idx", "columns", "cells"))
+    return ordered_text(x, SECTION, "row_idx", "__line", "\n", "body", extra_aggs=[(F.max("columns"), "max", "columns")])
 
 
 def chunk_by_marker(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bool = True) -> DataFrame:
     """Marker chunks in the ``chunks`` layout (content null when ``with_text`` is off)."""
-    s = sections(rows, marker, with_text)
+    marks = cut_lineage(_marks(rows, marker)) if with_text else _marks(rows, marker)
+    s = marks.groupBy(*SECTION).agg(
+        F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"), F.count(F.lit(1)).alias("n_rows"),
+        F.max("label").alias("label"), F.max("sheet_pos").alias("sheet_pos"))
     # per-sheet facts from a partial aggregate joined back (AQE broadcasts it
     # when small and splits a sheet with very many sections otherwise)
     per_sheet = (s.groupBy("source", "sheet")
@@ -73,16 +79,18 @@ def chunk_by_marker(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bo
     end_row = F.when(full, F.col("__sheet_rows")).otherwise(F.col("last_idx") + 1)
     total_rows = F.when(full, F.lit(None)).otherwise(F.col("n_rows"))
     out = s.select(
-        "source", "sheet", "sheet_pos", "columns", "section", "__n_markers",
+        "source", "sheet", "sheet_pos", "section", full.alias("__full"),
         chunk_type.alias("chunk_type"),
         (F.col("section") - F.col("__min_section")).cast("bigint").alias("part"),
         start_row.cast("bigint").alias("start_row"),
         end_row.cast("bigint").alias("end_row"),
         total_rows.cast("bigint").alias("total_rows"),
         label.alias("section_label"),
-        *([F.col("body")] if with_text else []),
     )
+    out = with_chunk_ids(out, ID_SEP)
+    full = F.col("__full")
     if with_text:
+        out = out.join(section_text(rows, marks), SECTION)
         head = F.when(
             full,
             F.concat_ws("\n",
@@ -109,4 +117,4 @@ def chunk_by_marker(rows: DataFrame, marker: str = DEFAULT_MARKER, with_text: bo
     out = (out.withColumn("token_count", F.lit(None).cast("bigint"))
               .withColumn("num_rows", F.lit(None).cast("bigint"))
               .withColumn("total_parts", F.lit(None).cast("bigint")))
-    return assign_chunk_ids(out, ID_SEP, lower=False).drop("section", "columns", "__n_markers")
+    return chunk_layout(out.drop("section", "columns", "__full"))

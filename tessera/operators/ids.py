@@ -13,27 +13,36 @@ from ..session import cut_lineage
 from .scan import group_offsets, join_small
 
 
-def assign_chunk_ids(chunks: DataFrame, sep: str, lower: bool = False) -> DataFrame:
-    """``chunk_id = base(source) <sep> n`` with ``n`` running over the sheets
-    of a source in ``(sheet_pos, sheet)`` order, then ``part``.
-
-    The running number is built from one row per sheet (count of its chunks,
-    exclusive prefix per source, see ``group_offsets``), so no window ever
-    spans all chunks of a large source.
+def with_chunk_ids(light: DataFrame, sep: str, lower: bool = False) -> DataFrame:
+    """Add ``chunk_id = base(source) <sep> n`` with ``n`` running over the
+    sheets of a source in ``(sheet_pos, sheet)`` order, then ``part``.
+
+    ``light`` has one row per chunk (``source, sheet, sheet_pos, part, ...``),
+    best without the chunk's text: it is read twice (counts per sheet, join
+    back) and so is written once.  The running number is built from one row
+    per sheet (count of its chunks, exclusive prefix per source, see
+    ``group_offsets``), so no window ever spans all chunks of a large source.
     """
-    # the chunk table is read twice (per-sheet counts and the join back):
-    # materialise it once in the shared checkpoint folder instead of running
-    # the chunker twice
-    chunks = cut_lineage(chunks)
-    per_sheet = (chunks.groupBy("source", "sheet")
-                       .agg(F.max("sheet_pos").alias("__pos"), F.count(F.lit(1)).alias("__n")))
+    light = cut_lineage(light)
+    per_sheet = (light.groupBy("source", "sheet")
+                      .agg(F.max("sheet_pos").alias("__pos"), F.count(F.lit(1)).alias("__n")))
     offs = group_offsets(per_sheet, ["source"], ["__pos", "sheet"], "__n", "__off").drop("__pos", "__n")
     base = tx.base_name(tx.file_name("source"))
     if lower:
         base = F.lower(base)
-    out = join_small(chunks, offs, ["source", "sheet"])
-    out = out.withColumn("chunk_id", tx.chunk_id(base, sep, F.col("__off") + F.col("part"))).drop("__off")
-    return out.select(*CHUNK_COLUMNS, *[c for c in out.columns if c not in CHUNK_COLUMNS])
+    out = join_small(light, offs, ["source", "sheet"])
+    return out.withColumn("chunk_id", tx.chunk_id(base, sep, F.col("__off") + F.col("part"))).drop("__off")
+
+
+def chunk_layout(chunks: DataFrame) -> DataFrame:
+    """The fixed chunk columns first, then any others."""
+    return chunks.select(*CHUNK_COLUMNS, *[c for c in chunks.columns if c not in CHUNK_COLUMNS])
+
+
+def assign_chunk_ids(chunks: DataFrame, sep: str, lower: bool = False) -> DataFrame:
+    """Ids for chunks whose text is already there (the text is written with
+    them; where it can be attached later, use ``with_chunk_ids`` before)."""
+    return chunk_layout(with_chunk_ids(chunks, sep, lower))
 
 
 def union_chunks(*frames: DataFrame) -> DataFrame:

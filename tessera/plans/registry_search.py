@@ -260,9 +260,7 @@ def q_response_parse(spark, sf):
            .otherwise(F.concat(F.lit('{"content":['), F.to_json(F.struct(F.col("props").alias("text"))), F.lit("]}")))
     x = e.select(F.col("event_id").alias("request_id"), raw.alias("raw"), F.lit(None).cast("string").alias("error"),
                  F.when(even, F.lit("openai")).otherwise(F.lit("anthropic")).alias("family"))
-    parsed = parse_responses(x.select("request_id", "raw", "error"), x.select("request_id", "family"))
-    return (parsed.join(x.select("request_id", "family"), "request_id")
-                  .select(F.col("request_id").alias("event_id"), "family", "text"))
+    return parse_responses(x).select(F.col("request_id").alias("event_id"), "family", "text")
 
 
 # -- G8 / F5 -------------------------------------------------------------------------
@@ -320,7 +318,7 @@ def q_delta_fold(spark, sf):
                                                                          "token_count")
 
 
-# -- G6 / G9 / U3 (rows only: the model is a stub) -------------------------------------
+# -- G6 / G9 / G10 / U3: the endpoints are deterministic stand-ins -------------------------------------
 def stub_model(body: str, model_id: str) -> str:
     """Deterministic stand-in for a model endpoint: echoes the request size,
     fails for every seventh body length."""
@@ -334,7 +332,61 @@ def stub_model(body: str, model_id: str) -> str:
     return json.dumps({"content": [{"text": text}]})
 
 
-@register("generate_stub")
+def _stub_sql(ctes: str) -> str:
+    """What ``stub_model`` makes of ``bodies(request_id, model_id, family,
+    body)``, parsed and cleaned; ``stub_model`` is a function of the body's
+    length and the model id."""
+    reply = "'<reasoning>size ' || n || '</reasoning>answer of ' || n || ' characters'"
+    return f"""
+WITH {ctes},
+n AS (SELECT *, length(body) AS n, family IS NULL OR length(body) % 7 = 0 AS bad FROM bodies)
+SELECT request_id,
+       CASE WHEN bad THEN NULL WHEN family = 'openai' THEN '{{"choices": [{{"message": {{"content": "' || {reply} || '"}}}}]}}'
+            ELSE '{{"content": [{{"text": "' || {reply} || '"}}]}}' END AS raw,
+       CASE WHEN NOT bad THEN {reply} END AS text,
+       CASE WHEN family IS NULL THEN 'Error: Unsupported model: ' || model_id
+            WHEN bad THEN 'Error: stub refused a body of ' || n || ' characters' END AS error,
+       CASE WHEN family IS NULL THEN 'Error: Unsupported model: ' || model_id
+            WHEN bad THEN 'Error: stub refused a body of ' || n || ' characters'
+            ELSE 'answer of ' || n || ' characters' END AS answer
+FROM n"""
+
+
+def _body_sql(prompt: str) -> str:
+    return f"""CASE WHEN family = 'openai' THEN CAST(json_object(
+         'messages', json_array(json_object('role', 'user', 'content', {prompt})),
+         'temperature', 0.2, 'top_p', 0.5, 'max_completion_tokens', 8192) AS VARCHAR)
+       WHEN family = 'anthropic' THEN CAST(json_object(
+         'anthropic_version', {O.q(P.ANTHROPIC_VERSION)},
+         'messages', json_array(json_object('role', 'user', 'content', {prompt})),
+         'temperature', 0.2, 'top_p', 0.5, 'max_tokens', 8192) AS VARCHAR) END"""
+
+
+#: user turns with a model id each
+_ASKED_SQL = f"""
+r AS (SELECT conv_id * 1000 + turn AS request_id, {_model_case_sql('conv_id % 4')} AS model_id, text AS prompt
+      FROM conversations WHERE role = 'user'),
+f AS (SELECT *, {FAMILY_SQL} AS family FROM r)"""
+#: the same with the retrieved context in the prompt
+_ANSWER_BODIES_SQL = f"""
+{DOC_HITS_SQL.strip()},
+ctx AS (SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hit_docs GROUP BY query_id),
+{_ASKED_SQL.strip()},
+qc AS (SELECT f.request_id, model_id, family, f.prompt AS query, COALESCE(ctx.context, '') AS context
+       FROM f LEFT JOIN ctx ON ctx.query_id = f.request_id),
+p AS (SELECT *, {O.q(P.ROLE_PREFIX_SYSTEM)} || {_template_sql(P.SYSTEM_TEMPLATE, {'context': 'context', 'question': 'query'})}
+         || chr(10) || {O.q(P.ROLE_PREFIX_HUMAN)} || {_template_sql(P.HUMAN_TEMPLATE, {'context': 'context', 'question': 'query'})} AS prompt FROM qc),
+bodies AS (SELECT request_id, model_id, family, {_body_sql('prompt')} AS body FROM p)"""
+#: ``stub_events`` echoes the question in two halves, or breaks
+_EVENTS_SQL = """
+SELECT conv_id * 1000 + turn AS request_id, CASE WHEN length(text) % 11 = 0 THEN 'Error: stream refused' ELSE text END AS answer,
+       CAST(CASE WHEN length(text) % 11 = 0 THEN 0 ELSE 3 END AS BIGINT) AS n_deltas,
+       CAST(CASE WHEN length(text) % 11 = 0 THEN 0
+            ELSE (length(text) // 2) // 5 + (length(text) - length(text) // 2) // 5 END AS BIGINT) AS token_count
+FROM conversations WHERE role = 'user'"""
+
+
+@register("generate_stub", _stub_sql(f"{_ASKED_SQL.strip()}, bodies AS (SELECT request_id, model_id, family, {_body_sql('prompt')} AS body FROM f)"))
 def q_generate_stub(spark, sf):
     from ..operators.generate import call_model, parse_responses, persist_responses
     req = _requests(spark, sf)
@@ -342,15 +394,19 @@ def q_generate_stub(spark, sf):
     return parse_responses(raw, req)
 
 
-@register("answer_stub")
+def _asked(spark, sf, model_id):
+    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+                    model_id.alias("model_id"), F.lit(K).alias("k"))
+
+
+@register("answer_stub", _stub_sql(_ANSWER_BODIES_SQL.strip()))
 def q_answer_stub(spark, sf):
     """G9 end to end: questions -> hits over document vectors -> context ->
     prompt -> body -> stub model (errors as rows) -> parsed, cleaned answers."""
     from .flagship import ask
     store = hashed_tf(doc_store(spark, sf), "chunk_id", "content", keep=True)
-    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
-    questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
-                         _model_case(F.pmod(F.col("conv_id"), F.lit(4))).alias("model_id"), F.lit(K).alias("k"))
+    questions = _asked(spark, sf, _model_case(F.pmod(F.col("conv_id"), F.lit(4))))
     return ask(questions, store, stub_model, k=K, concurrency=8)
 
 
@@ -369,12 +425,25 @@ def stub_events(body: str, model_id: str):
     yield json.dumps({"type": "message_stop"})
 
 
-@register("answer_events_stub")
+@register("answer_events_stub", _EVENTS_SQL)
 def q_answer_events_stub(spark, sf):
-    """G10 end to end with a stub event stream (rows only)."""
+    """G10 end to end with a stub event stream."""
     from .flagship import ask_events
     store = hashed_tf(doc_store(spark, sf), "chunk_id", "content", keep=True)
-    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
-    questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
-                         F.lit(STREAM_ID).alias("model_id"), F.lit(K).alias("k"))
+    questions = _asked(spark, sf, F.lit(STREAM_ID))
     return ask_events(questions, store, stub_events, k=K, concurrency=8)
+
+
+@register("answer_dispatch", f"""
+WITH plain AS ({_stub_sql(_ANSWER_BODIES_SQL.strip()).strip()}),
+ev AS ({_EVENTS_SQL.strip()}),
+m AS (SELECT conv_id * 1000 + turn AS request_id, {_model_case_sql('conv_id % 4')} = {O.q(STREAM_ID)} AS streaming
+      FROM conversations WHERE role = 'user')
+SELECT m.request_id, m.streaming, CASE WHEN m.streaming THEN ev.answer ELSE plain.answer END AS answer
+FROM m JOIN plain USING (request_id) JOIN ev USING (request_id)""")
+def q_answer_dispatch(spark, sf):
+    """Each question by the path of its model id."""
+    from .flagship import dispatch
+    store = hashed_tf(doc_store(spark, sf), "chunk_id", "content", keep=True)
+    questions = _asked(spark, sf, _model_case(F.pmod(F.col("conv_id"), F.lit(4))))
+    return dispatch(questions, store, stub_model, stub_events, (STREAM_ID,), k=K, concurrency=8)
