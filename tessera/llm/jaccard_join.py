@@ -21,7 +21,8 @@ component of links each document belongs to.
    traversal drops pairs of nodes that lie in one component or whose largest
    possible overlap is too small.  What is left is verified like the star.
    Before either verification, bitmaps of the whole sets (2 to 4 bits a
-   shingle) rule out most pairs that don't link.
+   shingle) rule out most pairs that don't link.  A pair is met only in
+   groups that the smaller set is in by the first shingles of its order.
 5. Components of all links by label propagation with pointer jumping.
 
 Only classes in a verified pair's neighbourhood ever move their whole sets,
@@ -74,9 +75,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def set_id(s: np.ndarray) -> int:
-    """Hash of a set as a signed 64-bit number."""
+    """Hash of a set as a signed 64-bit number, even (the last bit is free)."""
     x = tb.mix(np.array([tb.mix(s ^ np.uint64(0x1D8E4E27C47D124F)).sum(dtype=np.uint64) ^ np.uint64(len(s))], dtype=np.uint64))
-    return int(x.view(np.int64)[0])
+    return int(x.view(np.int64)[0]) & ~1
 
 
 def least_overlap(n):
@@ -137,6 +138,13 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:p]
 
 
+def early(n: int, p: int) -> np.ndarray:
+    """1 for the shingles of a prefix of ``p`` that may bring a set of ``n``
+    together with one at least as large: two linked sets share a shingle
+    among the first ``n - pair_overlap(n, n) + 1`` of the smaller one."""
+    return (np.arange(p) < n - pair_overlap(n, n) + 1).astype(np.int64)
+
+
 def _prefixes(it, packed, n_buckets):
     frequent = packed.value
     step = np.uint64((1 << 64) // n_buckets + 1)
@@ -149,7 +157,7 @@ def _prefixes(it, packed, n_buckets):
             once = np.unique(ids, return_index=True)[1]
             pre = [prefix(sets[i], frequent) for i in once]
             h = np.concatenate(pre)
-            sid = np.repeat(ids[once], [len(x) for x in pre])
+            sid = np.repeat(ids[once], [len(x) for x in pre]) | np.concatenate([early(len(sets[i]), len(x)) for i, x in zip(once, pre)])
             order = np.argsort(h)
             h, sid = h[order], sid[order]
             b = (h // step).astype(np.int64)
@@ -186,12 +194,13 @@ def _group(table: pa.Table) -> pa.Table:
     h, sid = h[order], sid[order]
     once = np.append(True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1]))
     h, sid = h[once], sid[once]
+    first_half, sid = sid & 1, sid & ~1
     cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(cut, len(h)))
     per = np.repeat(size, size)
     centre = np.repeat(sid[cut], size)
     shared = per > 1
-    h, sid, centre, per = h[shared], sid[shared], centre[shared], per[shared]
+    h, sid, centre, per, first_half = h[shared], sid[shared], centre[shared], per[shared], first_half[shared]
     if not len(h):
         return pa.table({c.split()[0]: pa.array([], pa.int32() if c.startswith("kind") else pa.int64()) for c in GROUPED.split(", ")})
     star = np.unique(np.stack([centre, sid], axis=1)[sid != centre], axis=0)
@@ -200,20 +209,38 @@ def _group(table: pa.Table) -> pa.Table:
     ids, n, words = _bits(sid[order], h[order])
     k = [len(star), int(many.sum()), len(ids)]
     pad = np.zeros(k[0] + k[1], dtype=np.int64)
+    marks = np.append(np.zeros(k[0], dtype=np.int64), first_half[many])
     return pa.table({
         "kind": pa.array(np.repeat([STAR, MEMBER, SHARED], k).astype(np.int32)),
         "x": np.concatenate([star[:, 0], h[many].view(np.int64), ids]),
         "y": np.concatenate([star[:, 1], sid[many], np.zeros(k[2], dtype=np.int64)]),
-        "n": np.concatenate([pad, n]), **{f"b{w}": np.concatenate([pad, words[w]]) for w in range(4)}})
+        "n": np.concatenate([marks, n]), **{f"b{w}": np.concatenate([pad, words[w]]) for w in range(4)}})
+
+
+def room(na, nb, x, y) -> np.ndarray:
+    """Which pairs of sets the bitmaps of the whole sets leave room for a
+    link: a bit of one that the other lacks is a shingle it lacks (the wider
+    bitmap is folded)."""
+    out = np.zeros(len(x), dtype=bool)
+    for i, (a, b) in enumerate(zip(x, y)):
+        while len(a) > len(b):
+            a = a[:len(a) // 2] | a[len(a) // 2:]
+        while len(b) > len(a):
+            b = b[:len(b) // 2] | b[len(b) // 2:]
+        both = int(np.bitwise_count(a & b).sum())
+        o = pair_overlap(int(na[i]), int(nb[i]))
+        out[i] = int(np.bitwise_count(a).sum()) - both <= na[i] - o and int(np.bitwise_count(b).sum()) - both <= nb[i] - o
+    return out
 
 
 class SignatureTree:
     """Classes of one group, in order of size; inner nodes hold the OR of the
     bitmaps, the range of the sizes, the most shared shingles of a class and
-    the component, if it is only one."""
+    the component, if it is only one.  ``whole`` are the bitmaps of the whole
+    sets, which pairs of leaves are held against last."""
 
-    def __init__(self, size, shared, bits, comp):
-        self.size, self.shared, self.bits, self.comp = size, shared, bits, comp
+    def __init__(self, size, shared, bits, comp, early, whole):
+        self.size, self.early, self.whole = size, early, whole
         lo = hi = size
         most, word, one = shared, bits, comp
         self.levels = [(lo, hi, most, word, one)]
@@ -262,7 +289,12 @@ class SignatureTree:
             miss_a = np.bitwise_count(word[a] & ~word[b]).sum(axis=1)
             miss_b = np.bitwise_count(word[b] & ~word[a]).sum(axis=1)
             possible = np.minimum(possible, np.minimum(most[a] - miss_a, most[b] - miss_b))
-        return ok & (possible >= np.maximum(need, 1))
+            ok &= self.early[a]               # in this group through the smaller one's first shingles
+        ok &= possible >= np.maximum(need, 1)
+        if level == 0:
+            at = np.flatnonzero(ok)
+            ok[at] = room(self.size[a[at]], self.size[b[at]], [self.whole[i] for i in a[at]], [self.whole[i] for i in b[at]])
+        return ok
 
 
 def _need(a, b):
@@ -275,13 +307,14 @@ def _tree_join(table: pa.Table) -> pa.Table:
     """Candidate pairs of the groups (by shingle) in one range of shingles."""
     col = {c: table.column(c).to_numpy() for c in table.column_names}
     order = np.lexsort((col["sid"], col["size"], col["h"]))
-    h, sid, size, shared, root = (col[c][order] for c in ("h", "sid", "size", "shared", "root"))
+    h, sid, size, shared, root, first = (col[c][order] for c in ("h", "sid", "size", "shared", "root", "early"))
+    whole = [np.frombuffer(x, dtype=np.uint64) for x in col["bitmap"][order]]
     bits = np.stack([col[f"b{w}"][order].view(np.uint64) for w in range(4)], axis=1)
     cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     out = []
     for x, y in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist()):
         comp = np.unique(root[x:y], return_inverse=True)[1]
-        a, b = SignatureTree(size[x:y], shared[x:y], bits[x:y], comp).pairs()
+        a, b = SignatureTree(size[x:y], shared[x:y], bits[x:y], comp, first[x:y] == 1, whole[x:y]).pairs()
         if len(a):
             p = np.stack([sid[x:y][a], sid[x:y][b]], axis=1)
             p.sort(axis=1)
@@ -317,19 +350,11 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _plausible(it):
-    """Pairs whose bitmaps leave room for a link: a bit of one that the other
-    lacks is a shingle it lacks (the wider bitmap is folded)."""
+    """Pairs whose bitmaps leave room for a link."""
     for batch in it:
-        keep = []
-        for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            while len(x) > len(y):
-                x = x[:len(x) // 2] | x[len(x) // 2:]
-            while len(y) > len(x):
-                y = y[:len(y) // 2] | y[len(y) // 2:]
-            o = pair_overlap(na, nb)
-            keep.append(int(np.bitwise_count(x & ~y).sum()) <= na - o and int(np.bitwise_count(y & ~x).sum()) <= nb - o)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+        x, y = ([np.frombuffer(v, dtype=np.uint64) for v in batch.column(k).to_pylist()] for k in (4, 5))
+        yield batch.select([0, 1]).filter(pa.array(room(na, nb, x, y), pa.bool_()))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -408,14 +433,15 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     links = verified(plausible(star, classes), docs)
     comps = components(links)
 
-    member = (grouped.filter(F.col("kind") == MEMBER).select(F.col("x").alias("h"), F.col("y").alias("sid"))
+    member = (grouped.filter(F.col("kind") == MEMBER).select(F.col("x").alias("h"), F.col("y").alias("sid"), F.col("n").alias("early"))
               .join(comps.withColumnRenamed("id", "sid"), "sid", "left")
               .withColumn("root", F.coalesce("root", "sid")))
-    open_ = member.groupBy("h").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("h")
-    rest = member.join(open_, "h").join(classes.drop("bitmap"), "sid")
+    open_ = (member.groupBy("h").agg(((F.min("root") != F.max("root")) & (F.max("early") == 1)).alias("open"))
+             .filter("open").select("h"))
+    rest = member.join(open_, "h").join(classes, "sid")
     more = (rest.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_buckets))).groupBy("part")
             .applyInArrow(_tree_join, "a long, b long").distinct().join(links, ["a", "b"], "left_anti"))
-    more = plausible(more, classes)
+    more = cut_lineage(more)
     if more.limit(1).count():
         found = verified(more, docs)
         if found.limit(1).count():

@@ -130,6 +130,9 @@ def test_jaccard_bounds_lose_nothing():
         assert len(shared)
         assert len(shared) >= min(jaccard_join._need(len(a), len(b)), jaccard_join._need(len(b), len(a)))
         assert o >= jaccard_join.pair_overlap(len(a), len(b))
+        small = a if len(a) <= len(b) else b
+        pre = jaccard_join.prefix(small, frequent)
+        assert len(np.intersect1d(pre[jaccard_join.early(len(small), len(pre)) == 1], shared))
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([len(a)]), pa.array([len(b)]),
                                             pa.array([jaccard_join.bitmap(a)], pa.binary()), pa.array([jaccard_join.bitmap(b)], pa.binary())],
                                            names=list("abcdef"))
@@ -146,7 +149,8 @@ def test_signature_tree_finds_all_that_share():
         for x in rng.integers(0, 256, shared[i]):
             bits[i, x >> 6] |= np.uint64(1) << np.uint64(x & 63)
     comp = rng.integers(0, 60, m)
-    tree = jaccard_join.SignatureTree(size, shared, bits, comp)
+    whole = [np.packbits(rng.random(128) < .6, bitorder="little").view(np.uint64) for _ in range(m)]
+    tree = jaccard_join.SignatureTree(size, shared, bits, comp, rng.random(m) < .7, whole)
     a, b = tree.pairs()
     every = [(i, j) for i in range(m) for j in range(i + 1, m)]
     i, j = (np.array(x) for x in zip(*every))
