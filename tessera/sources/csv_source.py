@@ -33,7 +33,7 @@ _RAW = "_raw_record"
 
 def _fields(record):
     """Number of fields of a raw record (separators outside quotes, plus one)."""
-    bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(record, '"[^"]*+"', "")       # a doubled quote ends one quoted part and begins the next
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 

@@ -29,6 +29,8 @@ def test_wide_csv_repeats_and_missing(spark, tmp_path):
     assert wide.columns == names[:98] + ["c0.1", "Unnamed: 99"] and wide.cells == ["v"] * 97 + [None, None, None]
     assert len(got["wide.csv", 1].cells) == 100
     assert got["b.csv", 0].columns == ["a", "b", "Unnamed: 2"] and got["b.csv", 0].cells == ["1", 'q, "r"\nnext', None]
+    write(f"{tmp_path}/long/l.csv", 'a,b\n1,"' + 'x, ""y""\n' * 20000 + '"\n')
+    assert len(read_csv_sheets(spark, f"{tmp_path}/long/l.csv").first().cells[1]) == 7 * 20000
     kept = read_csv_sheets(spark, f"{tmp_path}/wide.csv", missing=()).where("row_idx = 0").first().cells
     assert kept[97:99] == ["NA", "null"]
 
