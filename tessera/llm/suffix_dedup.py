@@ -49,7 +49,7 @@ from .common import texts
 
 LENGTH = 100
 GRAM = 32
-HOT = 2000                   # distinct contexts of one anchor beyond which strings are counted one by one
+HOT = 8000                   # distinct contexts of one anchor (about a megabyte) beyond which strings are counted one by one
 BUCKET_BYTES = 6 << 20       # bytes of text whose anchors a bucket is meant to hold
 INDEX_BYTES = 1 << 20        # bytes of context an index is meant to hold
 MAX_BITS = 1 << 27           # largest bitmap of places (16 MB)
