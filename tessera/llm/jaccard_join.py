@@ -358,9 +358,15 @@ def _plausible(it):
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that the bitmaps of the whole sets don't rule out."""
-    by = classes.select("sid", "size", "bitmap")
-    both = pairs.join(by.toDF("a", "na", "ba"), "a").join(by.toDF("b", "nb", "bb"), "b")
+    """The pairs ``a, b`` that neither the sizes, nor the number of shared
+    prefix shingles, nor the bitmaps of the whole sets rule out."""
+    na, nb = F.col("na"), F.col("nb")
+    least = lambda a, b: F.ceil((PERCENT * (a + b)) / F.lit(100 + PERCENT))
+    need = lambda a, b: (a - F.floor((PERCENT * a + 99) / 100) + 1) - (a - least(a, b)) - 1
+    by = classes.select("sid", "size", "shared", "bitmap")
+    both = (pairs.join(by.toDF("a", "na", "ra", "ba"), "a").join(by.toDF("b", "nb", "rb", "bb"), "b")
+            .filter((100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na))
+            .filter(F.least("ra", "rb") >= F.least(need(na, nb), need(nb, na))))
     return cut_lineage(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_plausible, "a long, b long"))
 
 
@@ -422,14 +428,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
                           .agg(F.sum("n").alias("shared"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(4)])
                           .join(sizes, "sid"))
 
-    one, two = F.col("na"), F.col("nb")
-    least = lambda a, b: F.ceil((PERCENT * (a + b)) / F.lit(100 + PERCENT))
-    need = lambda a, b: (a - F.floor((PERCENT * a + 99) / 100) + 1) - (a - least(a, b)) - 1
     star = grouped.filter(F.col("kind") == STAR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    by = classes.select("sid", "size", "shared")
-    star = (star.join(by.toDF("a", "na", "ra"), "a").join(by.toDF("b", "nb", "rb"), "b")
-            .filter((100 * one >= PERCENT * two) & (100 * two >= PERCENT * one))
-            .filter(F.least("ra", "rb") >= F.least(need(one, two), need(two, one))).select("a", "b"))
     links = verified(plausible(star, classes), docs)
     comps = components(links)
 
