@@ -49,6 +49,7 @@ from .common import texts, with_ids
 SHINGLE = 5
 PERCENT = 75
 BUCKET_HASHES = 300_000      # prefix shingles a bucket is meant to hold
+PART_MEMBERS = 150_000       # members of open groups that a tree join is meant to hold
 SAMPLE_SHARE = 64            # one document in so many is sampled for the order
 SAMPLE_LEAST = 3             # sampled documents that make a shingle frequent
 MAX_FREQUENT = 1 << 16       # frequent shingles that the order knows
@@ -437,8 +438,10 @@ def similarity_components(docs: DataFrame) -> DataFrame:
               .withColumn("root", F.coalesce("root", "sid")))
     open_ = (member.groupBy("h").agg(((F.min("root") != F.max("root")) & (F.max("early") == 1)).alias("open"))
              .filter("open").select("h"))
-    rest = member.join(open_, "h").join(classes, "sid")
-    more = (rest.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_buckets))).groupBy("part")
+    rest = cut_lineage(member.join(open_, "h"))
+    # few parts: a pair is found once a part, however many groups of the part it shares
+    n_parts = -(-rest.count() // PART_MEMBERS) or 1
+    more = (rest.join(classes, "sid").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_parts))).groupBy("part")
             .applyInArrow(_tree_join, "a long, b long").distinct().join(links, ["a", "b"], "left_anti"))
     more = cut_lineage(more)
     if more.limit(1).count():
