@@ -21,9 +21,9 @@ task holds a host.
 
 Defined cases: null or empty html has an empty text; a null url is a host of
 its own; malformed and cut pages are read to their end; repeated rows each
-get their row (they are told apart by a number made while reading and do not
-count twice in the tree); an empty table gives an empty result; further
-columns are ignored.
+get their row (they are told apart by a number made while reading); pages of
+a host that show the same blocks count once in the tree; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,15 +200,16 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     """``host, path, content, n, m, node``: pages that show the content at
     the path, pages with the path, and the path's own importance.
 
-    Only blocks that markup leaves undecided are counted.
+    Only blocks that markup leaves undecided are counted, and pages of a host
+    that show the same blocks in the same order are one page.
     """
-    seen = parsed.select("host", "page_key", F.explode(F.array_distinct(F.transform(
-        F.filter("blocks", lambda b: ~b["noise"] & ~b["main"]),
-        lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))))).alias("b"))
-    per = seen.groupBy("host", "b.path", "b.content").agg(F.count(F.lit(1)).alias("n"))
-    pages = (parsed.select("host", F.explode(F.array_distinct(F.transform(
-        F.filter("blocks", lambda b: ~b["noise"] & ~b["main"]), lambda b: b["path"]))).alias("path"))
-        .groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")))
+    light = lambda keep: F.transform(F.filter("blocks", keep), lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content")))
+    distinct = (parsed.select("host", F.xxhash64(light(lambda b: ~b["noise"])).alias("page"), light(lambda b: ~b["noise"] & ~b["main"]).alias("open"))
+                .dropDuplicates(["host", "page"]))
+    per = (distinct.select("host", F.explode(F.array_distinct("open")).alias("b"))
+           .groupBy("host", "b.path", "b.content").agg(F.count(F.lit(1)).alias("n")))
+    pages = (distinct.select("host", F.explode(F.array_distinct(F.transform("open", lambda b: b["path"]))).alias("path"))
+             .groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")))
     x = per.join(pages, ["host", "path"])
     base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
     p = F.col("n") / F.col("m")

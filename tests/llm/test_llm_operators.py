@@ -89,6 +89,17 @@ def test_tree_drops_what_a_host_repeats(spark):
         assert got[i] == f"Story {i} of its own {i * 7}\n\nMore on {i * 3} here"
 
 
+def test_copies_of_a_page_are_no_repetition(spark):
+    text = "<html><body><div><p>The only story of this host</p></div></body></html>"
+    rows = [(i, f"http://one.example/{i}", text) for i in range(5)]
+    rows += [(10 + i, f"http://two.example/{i}", text.replace("only story", f"story {i if i > 20 else 0}")) for i in range(40)]
+    got = {r.page_id: r.text for r in site_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == "The only story of this host"
+    for i in range(40):
+        assert got[10 + i] == f"The story {i if i > 20 else 0} of this host"
+
+
 # ----------------------------------------------------------------- 3: mixing
 
 def fixed_point(sizes):
