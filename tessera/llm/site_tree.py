@@ -8,12 +8,14 @@ pages repeat each content.  The importance of a content node is
 the path (0: every page repeats it, 1: no other page has it), a presentation
 node's importance is the entropy (base m) of what the pages show there, and a
 branch of a page scores the mean over its blocks, weighted by length.  A
-branch that scores low is removed from the page.
+branch that scores low is removed from the page, and so is a block that is low
+by itself.
 
-Few pages of a host, or copies of one page, say little about what repeats;
-so markup counts too: elements and names that mean navigation, adverts, forms
-and the like are removed, blocks inside a page's article (or main) element
-stay, and the tree decides for pages without one, and for what stands beside.
+Few pages of a host say little about what repeats, so markup counts too:
+elements and names that mean navigation, adverts, forms and the like are
+removed.  The tree decides for all other blocks of every page; what stands in
+an article (or main) element has ``MAIN_PRIOR`` added to its importance, so it
+stays unless much of the host repeats it.
 
 The tree is an aggregate over (host, path, content), not one object per host:
 a host with a third of all pages is counted in parts like any other, and no
@@ -21,9 +23,8 @@ task holds a host.
 
 Defined cases: null or empty html has an empty text; a null url is a host of
 its own; malformed and cut pages are read to their end; repeated rows each
-get their row (they are told apart by a number made while reading); pages of
-a host that show the same blocks count once in the tree; an empty table gives
-an empty result; further columns are ignored.
+get their row; pages of a host that show the same blocks count once in the
+tree; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import small
 
 MIN_IMPORTANCE = 0.35    # branches below are removed
 MIN_PAGES = 3            # a path on fewer pages of the host is judged by markup alone
+MAIN_PRIOR = 0.2         # added to the importance of what stands in an article (or main) element
 
 # fixed values: element kinds
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -178,69 +181,93 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PAGE_BLOCKS = ("page_id long, url string, host string, "
-               "blocks array<struct<path:long,content:long,noise:boolean,main:boolean,text:string>>")
-_BLOCK = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("noise", pa.bool_()), ("main", pa.bool_()),
-                             ("text", pa.string())]))
+LIGHT = ("host string, page long, "
+         "blocks array<struct<pos:int,path:long,content:long,size:int,main:boolean,new:boolean,first:boolean>>")
+_BLOCK = pa.list_(pa.struct([("pos", pa.int32()), ("path", pa.int64()), ("content", pa.int64()), ("size", pa.int32()), ("main", pa.bool_()),
+                             ("new", pa.bool_()), ("first", pa.bool_())]))
+TEXTS = "page_id long, url string, host string, page long, texts array<string>"
 
 
-def _parse(it):
+def _page(html: str | None):
+    """The blocks that markup doesn't call noise, as ``(path, content, inside
+    article, text)``, and a number of their list."""
+    rows = [(_digest(p), _digest(t), m, t) for p, n, m, t in blocks(html or "") if not n]
+    return rows, _digest(repr([r[:3] for r in rows]))
+
+
+def _light(it):
+    """Distinct pages of a slice, without texts; ``new`` and ``first`` mark
+    the first block of the page with its path and content, and with its path."""
     for batch in it:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            urls = part.column(1).to_pylist()
-            rows = [[{"path": _digest(p), "content": _digest(t), "noise": n, "main": m, "text": t}
-                     for p, n, m, t in blocks(h or "")] for h in part.column(2).to_pylist()]
+            out = {}
+            for url, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                rows, page = _page(h)
+                if not rows or (host_of(url), page) in out:
+                    continue
+                both, paths, light = set(), set(), []
+                for pos, (p, c, m, t) in enumerate(rows):
+                    light.append({"pos": pos, "path": p, "content": c, "size": len(t), "main": m, "new": (p, c) not in both, "first": p not in paths})
+                    both.add((p, c))
+                    paths.add(p)
+                out[host_of(url), page] = light
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([host_of(u) for u in urls]), pa.array(rows, _BLOCK)],
-                names=["page_id", "url", "host", "blocks"])
-
+                [pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.int64()), pa.array(list(out.values()), _BLOCK)],
+                names=["host", "page", "blocks"])
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """``host, path, content, n, m, node``: pages that show the content at
-    the path, pages with the path, and the path's own importance.
 
-    Only blocks that markup leaves undecided are counted, and pages of a host
-    that show the same blocks in the same order are one page.
-    """
-    light = lambda keep: F.transform(F.filter("blocks", keep), lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content")))
-    distinct = (parsed.select("host", F.xxhash64(light(lambda b: ~b["noise"])).alias("page"), light(lambda b: ~b["noise"] & ~b["main"]).alias("open"))
-                .dropDuplicates(["host", "page"]))
-    per = (distinct.select("host", F.explode(F.array_distinct("open")).alias("b"))
-           .groupBy("host", "b.path", "b.content").agg(F.count(F.lit(1)).alias("n")))
-    pages = (distinct.select("host", F.explode(F.array_distinct(F.transform("open", lambda b: b["path"]))).alias("path"))
-             .groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")))
-    x = per.join(pages, ["host", "path"])
-    base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-    p = F.col("n") / F.col("m")
-    node = (x.groupBy("host", "path").agg(F.least(F.sum(-p * F.log(p) / base), F.lit(1.0)).alias("node")))
-    return (x.withColumn("leaf", F.when(F.col("m") >= MIN_PAGES, 1 - F.log(F.col("n").cast("double")) / base).otherwise(1.0))
-             .join(node, ["host", "path"]))
+def _texts(it):
+    for batch in it:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            pages = [_page(h) for h in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([host_of(u) for u in part.column(1).to_pylist()], pa.string()),
+                 pa.array([page for _, page in pages], pa.int64()), pa.array([[r[3] for r in rows] for rows, _ in pages], pa.list_(pa.string()))],
+                names=["page_id", "url", "host", "page", "texts"])
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """``host, path, content, m, node, leaf`` of the blocks ``seen`` on
+    distinct pages: pages with the path, the path's own importance and that
+    of the content."""
+    per = (seen.groupBy("host", "path", "content")
+           .agg(F.sum(F.col("new").cast("long")).alias("n"), F.sum(F.col("first").cast("long")).alias("k")))
+    ln = lambda c: F.log(c.cast("double"))
+    m, base = F.col("m"), ln(F.greatest(F.col("m"), F.lit(2)))
+    node = (per.groupBy("host", "path").agg(F.sum("k").alias("m"), F.sum("n").alias("s"), F.sum(F.col("n") * ln(F.col("n"))).alias("e"))
+            .select("host", "path", "m", F.least((F.col("s") * ln(m) - F.col("e")) / (m * base), F.lit(1.0)).alias("node")))
+    # a row per host and path: a host with a third of all contents is not dealt to one task
+    node = small(cut_lineage(node))
+    return (per.join(node, ["host", "path"])
+            .select("host", "path", "content", "m", "node",
+                    F.when(m >= MIN_PAGES, 1 - ln(F.col("n")) / base).otherwise(1.0).alias("leaf")))
+
+
+def verdicts(light: DataFrame) -> DataFrame:
+    """``host, page, kept``: the places of the blocks that stay, in order."""
+    seen = light.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.*")
+    judged = (seen.join(style_tree(seen), ["host", "path", "content"])
+              .withColumn("prior", F.when(F.col("main"), MAIN_PRIOR).otherwise(0.0)))
+    # one exchange deals the pages out for both levels
+    branch = (judged.repartition("host", "page").groupBy("host", "page", "path")
+              .agg((F.sum(F.col("leaf") * F.col("size")) / F.sum("size")).alias("score"),
+                   F.first("node").alias("node"), F.first("m").alias("m"), F.max("prior").alias("prior"),
+                   F.collect_list(F.struct("pos", (F.col("leaf") + F.col("prior")).alias("own"))).alias("parts")))
+    importance = F.when(F.col("m") >= MIN_PAGES, (F.col("score") + F.least(F.col("node"), F.col("score"))) / 2).otherwise(1.0)
+    return (branch.filter(importance + F.col("prior") >= MIN_IMPORTANCE)
+            .select("host", "page", F.explode(F.filter("parts", lambda t: t["own"] >= MIN_IMPORTANCE)).alias("t"))
+            .groupBy("host", "page").agg(F.array_sort(F.collect_list("t.pos")).alias("kept")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.col("html").cast("string").alias("html"))
-    parsed = cut_lineage(src.mapInArrow(_parse, PAGE_BLOCKS).withColumn("page_key", F.monotonically_increasing_id()))
-    # pages with an article need no verdict of the tree
-    has_main = F.exists("blocks", lambda b: b["main"] & ~b["noise"])
-    decided = parsed.filter(has_main).withColumn("kept", F.filter("blocks", lambda b: b["main"] & ~b["noise"]))
-    open_ = parsed.filter(~has_main)
-    tree = style_tree(parsed)
-    rows = (open_.select("page_key", "host", F.posexplode(F.filter("blocks", lambda b: ~b["noise"])).alias("pos", "b"))
-            .select("page_key", "host", "pos", F.col("b.path").alias("path"), F.col("b.content").alias("content"), F.col("b.text").alias("text")))
-    judged = rows.join(tree.select("host", "path", "content", "leaf", "node", "m"), ["host", "path", "content"])
-    branch = (judged.groupBy("page_key", "path")
-              .agg((F.sum(F.col("leaf") * F.length("text")) / F.sum(F.length("text"))).alias("score"),
-                   F.first("node").alias("node"), F.first("m").alias("m"),
-                   F.collect_list(F.struct("pos", "text", "leaf")).alias("parts")))
-    importance = F.when(F.col("m") >= MIN_PAGES, (F.col("score") + F.least(F.col("node"), F.col("score"))) / 2).otherwise(1.0)
-    good = (branch.withColumn("importance", importance).filter(F.col("importance") >= MIN_IMPORTANCE)
-            .select("page_key", F.explode(F.filter("parts", lambda t: t["leaf"] > 0)).alias("t"))
-            .groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct(F.col("t.pos").alias("pos"), F.col("t.text").alias("text")))).alias("kept")))
-    rest = open_.select("page_key", "page_id", "url").join(good, "page_key", "left")
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n\n")
-    both = decided.select("page_id", "url", text.alias("text")).unionByName(rest.select("page_id", "url", text.alias("text")))
-    return (both.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
-            .select("page_id", "url", "text", "n_chars"))
+    # pages are read twice, so that what is kept and dealt out for the tree has no texts
+    light = cut_lineage(src.mapInArrow(_light, LIGHT).dropDuplicates(["host", "page"]))
+    both = src.mapInArrow(_texts, TEXTS).join(verdicts(light), ["host", "page"], "left")
+    text = F.array_join(F.transform("kept", lambda k: F.get("texts", k)), "\n\n")
+    return (both.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+            .withColumn("n_chars", F.length("text").cast("long")))

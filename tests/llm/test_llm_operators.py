@@ -100,6 +100,19 @@ def test_copies_of_a_page_are_no_repetition(spark):
         assert got[10 + i] == f"The story {i if i > 20 else 0} of this host"
 
 
+def test_tree_judges_inside_and_beside_an_article(spark):
+    rows = []
+    for i in range(40):
+        tail = "" if i == 3 else "<p>Read all our stories on the front page</p>"
+        rows.append((i, f"http://in.example/{i}", f"<article><h1>Head {i}</h1><p>Story {i} of its own, told at length {i * 7}</p>{tail}</article>"))
+        rows.append((100 + i, f"http://beside.example/{i}", f"<article><h1>Card {i}</h1></article><div><p>Body {i} of its own {i * 7}</p></div>"
+                                                            "<section><p>All sections here</p></section>"))
+    got = {r.page_id: r.text for r in site_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == f"Head {i}\n\nStory {i} of its own, told at length {i * 7}"
+        assert got[100 + i] == f"Card {i}\n\nBody {i} of its own {i * 7}"
+
+
 # ----------------------------------------------------------------- 3: mixing
 
 def fixed_point(sizes):
