@@ -184,6 +184,35 @@ def test_license_scan_against_containment(spark, odd):
     assert license_scan.scan(docs_df(spark, [])).count() == 0
 
 
+def test_license_scan_wrapped_and_inside_sentences(spark):
+    import re
+    import textwrap
+
+    rng = random.Random(14)
+    rows = []
+    for k, (name, body) in enumerate(license_scan.TEMPLATES.items()):
+        for width in (30, 60, 72, 78, 100):
+            rows.append((1000 * k + width, sentence(rng) + "\n" + textwrap.indent(textwrap.fill(body, width), " * ") + "\n" + sentence(rng)))
+        for i in range(20):
+            rows.append((1000 * k + 500 + i, sentence(rng, 20 + i) + " " + body.rstrip(".:") + " " + sentence(rng, 40)))
+    got = license_scan.scan(docs_df(spark, rows)).collect()
+
+    def runs(w, k):
+        return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
+
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = []
+    for i, t in rows:
+        for name, body in license_scan.TEMPLATES.items():
+            parts = [split(s) for s in re.split(r"(?<=[.;:!?])\s+", body)]
+            s = set().union(*[runs(w, min(5, len(w))) for w in parts if w])
+            n = sum(g in runs(split(t), len(g)) for g in s)
+            if n >= 0.75 * len(s):
+                want.append((i, name, n, len(s)))
+    assert {(i, name) for i, name, _, _ in want} >= {(i, list(license_scan.TEMPLATES)[i // 1000]) for i, _ in rows}
+    assert sorted((r.doc_id, r.license, r.n_shared, r.n_template) for r in got) == sorted(want)
+
+
 # ---------------------------------------------------------------- 5: toxicity
 
 def test_toxicity_learns_and_survives(spark, odd):
