@@ -204,6 +204,17 @@ def test_model_is_a_distribution_and_learns():
     assert np.allclose(a[:30], b[:30], atol=1e-4)
 
 
+def test_language_model_tells_256_classes():
+    rng = np.random.default_rng(11)
+    # ids in falling frequency, each in the sample
+    ids = np.concatenate([np.full(420 - i, i) for i in range(400)])
+    rng.shuffle(ids)
+    model = attention_lm.fit(ids, np.array([0, len(ids)]), 401, steps=1)
+    cls = attention_lm._classes(None, np.bincount(ids, minlength=401), rng.random((401, 65)), 401)
+    assert len(set(cls[:208].tolist())) == 208 and not set(cls[:208].tolist()) & set(cls[208:].tolist())
+    assert attention_lm.N_CLASSES == 256 and any(256 in np.shape(v) for v in model.w.values())
+
+
 def test_folding_and_exceptions():
     assert [toxicity.fold(x).split() for x in ("1d10t", "іdіоt", "l0s3r!!", "ÍDIOT")] == [["idiot"], ["idiot"], ["loser"], ["idiot"]]
     scan = toxicity.Scanner({"trash": 3.0, "idiot": 3.0})
