@@ -30,7 +30,6 @@ from . import textbatch as tb
 from .common import texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_PIECE = 16       # the vocabulary's pieces of up to so many bytes are used
 LONG = 256
 _COUNT_BITS = 20     # low bits of a score: number of pieces
 _TABLE_BITS = 20
@@ -39,16 +38,15 @@ _B = np.uint64(0x100000001B3)
 SCHEMA = "doc_id long, n_tokens long, n_pretokens long, n_bytes long"
 
 
-def read_vocabulary(path: str = VOCABULARY, max_piece: int = MAX_PIECE) -> dict[bytes, int]:
-    """Piece -> cost, from lines of base64 piece and rank.  Costs are
+def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
+    """Piece -> cost of all pieces, from lines of base64 piece and rank.  Costs are
     integers, ``1e6 * ln(rank + 2)``, so sums and ties are exact."""
     out = {}
     with open(path, "rb") as f:
         for line in f:
             piece, rank = line.split()
             piece = base64.b64decode(piece)
-            if len(piece) <= max_piece:
-                out[piece] = int(round(1e6 * np.log(int(rank) + 2.0)))
+            out[piece] = int(round(1e6 * np.log(int(rank) + 2.0)))
     return out
 
 
@@ -81,6 +79,7 @@ class Unigram:
     def __init__(self, pieces: dict[bytes, int]):
         self.pieces = pieces
         self.longest = max((len(p) for p in pieces), default=1)
+        self.lengths = sorted({len(p) for p in pieces})
         codes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(codes)
         self.codes = codes[order]
@@ -114,9 +113,9 @@ class Unigram:
             out[i] = self.count_one(data[start[i]: start[i] + size[i]].tobytes())
         # per node of the level: forward scores of itself and its ancestors (by distance), hashes of its last bytes
         node = np.zeros(n, dtype=np.int64)
-        best = np.full((1, self.longest), np.int64(1) << 61)
-        best[0, 0] = 0
-        tails = np.zeros((1, self.longest + 1), dtype=np.uint64)
+        # as wide as the level is deep, up to the longest piece
+        best = np.zeros((1, 1), dtype=np.int64)
+        tails = np.zeros((1, 1), dtype=np.uint64)
         depth = 0
         while len(active):
             byte = data[start[active] + depth]
@@ -124,14 +123,17 @@ class Unigram:
             parent, b = key >> 8, (key & 255).astype(np.uint64)
             depth += 1
             reach = min(depth, self.longest)
-            new_tails = np.zeros((len(key), self.longest + 1), dtype=np.uint64)
-            new_tails[:, 1:reach + 1] = tails[parent, :reach] * _B + (b + np.uint64(1))[:, None]
+            new_tails = np.zeros((len(key), reach + 1), dtype=np.uint64)
+            new_tails[:, 1:] = tails[parent, :reach] * _B + (b + np.uint64(1))[:, None]
             score = np.full(len(key), np.int64(1) << 61)
-            for length in range(1, reach + 1):
+            for length in self.lengths:
+                if length > reach:
+                    break
                 np.minimum(score, best[parent, length - 1] + self.cost(new_tails[:, length], length), out=score)
-            new_best = np.full((len(key), self.longest), np.int64(1) << 61)
+            width = min(depth + 1, self.longest)
+            new_best = np.empty((len(key), width), dtype=np.int64)
             new_best[:, 0] = score
-            new_best[:, 1:] = best[parent, :-1]
+            new_best[:, 1:] = best[parent, :width - 1]
             best, tails = new_best, new_tails
             node[active] = at
             done = size[active] == depth

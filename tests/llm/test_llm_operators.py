@@ -54,6 +54,30 @@ def test_token_counts_rows(spark, odd):
     assert token_counts.token_counts(docs_df(spark, [])).count() == 0
 
 
+def test_token_counts_with_the_whole_vocabulary(spark):
+    import base64
+
+    cost = {}
+    for line in open(token_counts.VOCABULARY, "rb"):
+        piece, rank = line.split()
+        cost[base64.b64decode(piece)] = int(round(1e6 * math.log(int(rank) + 2.0)))
+
+    def brute(raw):
+        best = [(0, 0)]
+        for j in range(1, len(raw) + 1):
+            best.append(min((best[i][0] + cost[raw[i:j]], best[i][1] + 1) for i in range(j) if raw[i:j] in cost))
+        return best[-1][1]
+
+    long = sorted(p.decode() for p in cost if len(p) > 16 and p.isascii() and len(p.split()) == 1 and p[:1] == b" " and not p[1:2].isspace())
+    assert " responsibilities" in long and " telecommunications" in long
+    tokens = ["x", *[w for p in long for w in (p, p + "s", " un" + p[1:])], " " + "-" * 200, " " + "=" * 130, " " + "a-" * 100]
+    rows = [(i, t) for i, t in enumerate(tokens)] + [(1000, "".join(tokens))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_df(spark, rows)).collect()}
+    want = {i: brute(t.encode()) for i, t in enumerate(tokens)}
+    assert got == want | {1000: sum(want.values())}
+    assert all(got[tokens.index(p)] == 1 for p in (" responsibilities", " telecommunications"))
+
+
 # ------------------------------------------------------------------ 2: pages
 
 NAV = '<nav><ul><li><a href="/x">Home</a></li></ul></nav>'
