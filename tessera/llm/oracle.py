@@ -76,3 +76,42 @@ links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id)"""
+
+
+def importance(buckets: int, min_words: int, percent: int, seed: int, scale: int) -> str:
+    return f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+                 lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+fd AS (SELECT doc_id, unnest(ws || [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS f FROM d),
+fb AS (SELECT unnest(ws || [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS f FROM b),
+nd AS (SELECT doc_id, f, count(*) AS n FROM fd GROUP BY ALL),
+nb AS (SELECT f, count(*) AS n FROM fb GROUP BY ALL),
+hx AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM nd UNION SELECT f FROM nb)),
+k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(x, i, 2) AS BIGINT) for i in range(1, len(x), 2)]),
+             lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % {buckets} AS bucket FROM hx, tab),
+cs AS (SELECT bucket, sum(n)::BIGINT AS s FROM nd JOIN k USING (f) GROUP BY 1),
+ct AS (SELECT bucket, sum(n)::BIGINT AS t FROM nb JOIN k USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor({scale} * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM cs) + {buckets})::DOUBLE)
+             / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM ct) + {buckets})::DOUBLE)))::BIGINT AS gain
+      FROM cs LEFT JOIN ct USING (bucket)),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+      FROM nd JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+s AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-{scale} * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM s WHERE n_words >= {min_words})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(*) FROM r) * {percent} // 100 THEN place END AS rank FROM s LEFT JOIN r USING (doc_id)"""
+
+
+def warc(min_revisit: int) -> str:
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= {min_revisit} GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to, CAST(1 AS BIGINT) AS n_requests
+FROM q LEFT JOIN f USING (payload_digest)"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (attention_lm, decontaminate, jaccard_join, license_scan, mixing, oracle, repetition, site_tree, suffix_dedup, token_counts,
-               toxicity)
+from . import (attention_lm, decontaminate, importance, jaccard_join, license_scan, mixing, oracle, periodic_runs, repetition, site_tree,
+               suffix_dedup, token_counts, toxicity, warc)
 from .common import table
 
 
@@ -50,11 +50,26 @@ def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_repetition_rules, op2_site_style_tree, op3_pareto_mixing, op4_license_scan, op5_toxicity_lexicon,
                                    op6_qgram_decontamination, op7_run_length_dedup, op8_trie_token_counts, op9_attention_lm,
-                                   op10_signature_tree_join)}
+                                   op10_signature_tree_join, op11_warc_transactions, op12_importance_resampling,
+                                   op13_periodic_runs)}
 ORACLE = {
     "op1_repetition_rules": oracle.repetition(repetition.MAX_SHARE, repetition.MAX_LINE_SHARE),
     "op3_pareto_mixing": oracle.mixing(mixing.SEED, mixing.WEIGHTS, mixing.SHARE, mixing.MOST_COPIES),
+    "op11_warc_transactions": oracle.warc(warc.MIN_REVISIT),
+    "op12_importance_resampling": oracle.importance(importance.BUCKETS, importance.MIN_WORDS, importance.PERCENT, importance.SEED, importance.SCALE),
     "op10_signature_tree_join": oracle.components(jaccard_join.SHINGLE, jaccard_join.PERCENT),
 }
