@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import fallback_tokens
 from ..operators.scan import row_ordinal
+from ..sources.csv_source import MISSING_MARKERS
 from . import bindings as B
 from . import oracle as O
 from .registry import K1_BUDGET, K1_OVERLAP, MARKER, _event_sql, register
@@ -321,19 +322,44 @@ def q_chunk_recursive(spark, sf):
     return ch.select("chunk_id", "source", "sheet", "part", "num_rows", "content")
 
 
-# -- T1 / S11 (rows only) -------------------------------------------------------------------
-@register("ingest_stream")
+# -- T1 / S11: documents as CSV files, one folder each, taken by the stream ----------------
+N_FILES = 16
+_ROW_TEXT = "sheet || ' ' || row_idx || coalesce(' ' || cell, '')"
+#: rows of the CSV files in file order: source is the folder
+FILE_LINES = f"""
+file_lines AS (
+  SELECT CAST(sheet_pos % {N_FILES} AS VARCHAR) AS source, 'CSV' AS sheet, CAST(0 AS BIGINT) AS sheet_pos,
+         row_number() OVER (PARTITION BY sheet_pos % {N_FILES} ORDER BY sheet_pos, row_idx) - 1 AS row_idx, {_ROW_TEXT} AS line
+  FROM (SELECT sheet, sheet_pos, row_idx, CASE WHEN cell IN ({', '.join(O.q(m) for m in MISSING_MARKERS)}) THEN NULL ELSE cell END AS cell FROM doc_lines)
+)"""
+
+
+def write_document_files(spark, sf, path):
+    """The given documents as CSV files (sheet, row_idx, text), one in each of
+    ``N_FILES`` folders."""
+    rows = _docs(spark, sf).select(F.pmod("sheet_pos", F.lit(N_FILES)).cast("int").alias("part"), "sheet", "sheet_pos", "row_idx",
+                                   F.col("cells")[0].alias("text"))
+    (rows.repartition(N_FILES, "part").sortWithinPartitions("part", "sheet_pos", "row_idx").drop("sheet_pos")
+         .write.partitionBy("part").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def _folder(c):
+    return F.regexp_extract(c, "part=([0-9]+)/", 1)
+
+
+@register("ingest_stream", f"""
+WITH RECURSIVE {O.DOC_LINES.strip()},
+{FILE_LINES.strip()},
+{O.k1_bounds('file_lines', 'length(line) // 5', K1_BUDGET, K1_OVERLAP).strip()}
+SELECT source AS folder, CAST(part AS VARCHAR) AS number, part, start_row, end_row, total_rows, total_parts FROM k1""")
 def q_ingest_stream(spark, sf):
     from ..session import scratch_path
     from ..streaming.ingest import ingest_stream
-    src = scratch_path(spark, "stream-in")
-    out = scratch_path(spark, "stream-out")
-    ckpt = scratch_path(spark, "stream-ckpt")
-    rows = _docs(spark, sf).select("sheet", "row_idx", F.col("cells")[0].alias("text"))
-    rows.repartition(8, "sheet").sortWithinPartitions("sheet", "row_idx").write.option("header", True) \
-        .option("escape", '"').csv(src)
-    q = ingest_stream(spark, src, out, ckpt, max_tokens=K1_BUDGET, overlap_tokens=K1_OVERLAP,
-                      max_files_per_trigger=4)
+    src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "ckpt"))
+    write_document_files(spark, sf, src)
+    q = ingest_stream(spark, src, out, ckpt, max_tokens=K1_BUDGET, overlap_tokens=K1_OVERLAP, max_files_per_trigger=8)
     q.awaitTermination()
     v = spark.read.parquet(out)
-    return v.select("chunk_id", "source", "part", "start_row", "end_row", "token_count", "epoch")
+    return v.select(_folder("source").alias("folder"), F.regexp_extract("chunk_id", "_([0-9]+)$", 1).alias("number"),
+                    "part", "start_row", "end_row", "total_rows", "total_parts")

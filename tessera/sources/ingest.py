@@ -6,8 +6,7 @@ files of equal names in different sub-folders stay apart.  One recursive
 listing feeds the scan and the log, whichever job asks (folder ingest, store
 rebuild, adding documents, stream).
 
-The folder ingest is one Spark job graph: CSV files are read by Spark's CSV
-reader, workbooks by the workbook scan; files that cannot be read become
+CSV files are read by the splittable scan, workbooks by the workbook scan; files that cannot be read become
 ``ingest_log`` rows instead of stopping the job (``strict=True`` fails it).
 """
 
@@ -25,7 +24,7 @@ from ..operators.chunk_recursive import chunk_recursive
 from ..operators.chunk_tokens import chunk_by_tokens
 from ..operators.scan import join_small
 from ..schema import SHEET_ROWS
-from .csv_source import read_csv_sheets
+from .csv_source import scan_csv
 from .files import list_files, read_files
 from .workbook import read_workbooks
 
@@ -87,11 +86,13 @@ def scan_folder(spark: SparkSession, root: str, paths: list[str] | None = None)
 
     ``source`` is the path relative to ``root``.
     """
-    chosen = lambda ext: [p for p in paths if p.lower().endswith(ext)] if paths is not None else None
+    chosen = lambda ext: [p for p in paths if p.lower().endswith(ext)]
     parts, errors = [], spark.createDataFrame([], "path string, error string")
-    csv = _found(lambda: _csv_paths(spark, root) if paths is None else chosen(".csv"))
-    if csv:
-        parts.append(read_csv_sheets(spark, csv))
+    names = None if paths is None else chosen(".csv")
+    csv = _found(lambda: scan_csv(spark, root, glob=CSV_GLOB)) if names is None else scan_csv(spark, names) if names else None
+    if csv is not None:
+        parts.append(csv[0])
+        errors = csv[1]
     if paths is None:
         books = _found(lambda: read_files(spark, root, XLSX_GLOB))
     else:
@@ -100,7 +101,7 @@ def scan_folder(spark: SparkSession, root: str, paths: list[str] | None = None)
     if books is not None:
         wb = read_workbooks(books)
         parts.append(wb.where(F.col("error").isNull()).drop("error"))
-        errors = wb.where(F.col("error").isNotNull()).select(F.col("source").alias("path"), "error")
+        errors = errors.unionByName(wb.where(F.col("error").isNotNull()).select(F.col("source").alias("path"), "error"))
     if not parts:
         rows = spark.createDataFrame([], SHEET_ROWS)
     else:
@@ -118,12 +119,6 @@ def _found(read):
         raise
 
 
-def _csv_paths(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the CSV files under ``root``: what a reader's file listing
-    holds in the driver anyway."""
-    return [r["path"] for r in list_files(spark, root, CSV_GLOB).select("path").collect()]
-
-
 def ingest_folder(spark: SparkSession, root: str, method: str = METHOD_MARKER,
                   strict: bool = False, **chunk_kw) -> tuple[DataFrame, DataFrame]:
     """``(chunks, ingest_log)``; bad files are logged, the rest go on."""
