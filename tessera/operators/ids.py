@@ -34,6 +34,19 @@ def with_chunk_ids(light: DataFrame, sep: str, lower: bool = False) -> DataFrame
     return out.withColumn("chunk_id", tx.chunk_id(base, sep, F.col("__off") + F.col("part"))).drop("__off")
 
 
+ROW_KEY = "row_key"
+
+
+def with_row_key(chunks: DataFrame, number: str | None = None) -> DataFrame:
+    """Add ``row_key``, unique over all chunks: ingest number (0 without one),
+    length and text of the source, sheet, part.  ``chunk_id`` shows only a
+    file's base name, so files of equal names share ids."""
+    n = F.col(number) if number else F.lit(0)
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return chunks.withColumn(ROW_KEY, F.concat_ws(":", n.cast("string"), F.length(part("source")).cast("string"),
+                                                  part("source"), part("sheet"), part("part")))
+
+
 def chunk_layout(chunks: DataFrame) -> DataFrame:
     """The fixed chunk columns first, then any others."""
     return chunks.select(*CHUNK_COLUMNS, *[c for c in chunks.columns if c not in CHUNK_COLUMNS])

@@ -334,14 +334,28 @@ file_lines AS (
 )"""
 
 
-def write_document_files(spark, sf, path):
-    """The given documents as CSV files (sheet, row_idx, text), one in each of
-    ``N_FILES`` folders."""
-    rows = _docs(spark, sf).select(F.pmod("sheet_pos", F.lit(N_FILES)).cast("int").alias("part"), "sheet", "sheet_pos", "row_idx",
-                                   F.col("cells")[0].alias("text"))
+def _rename(spark, path, name):
+    """Give the only file of every folder under ``path`` the name ``name``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for d in fs.listStatus(at):
+        if d.isDirectory():
+            for f in fs.listStatus(d.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(d.getPath(), name))
+
+
+def write_document_files(spark, sf, path, rows=None):
+    """The given documents as CSV files (sheet, row_idx, text), ``n.csv`` in
+    each of ``N_FILES`` folders."""
+    rows = _docs(spark, sf) if rows is None else rows
+    rows = rows.select(F.pmod("sheet_pos", F.lit(N_FILES)).cast("int").alias("part"), "sheet", "sheet_pos", "row_idx",
+                       F.col("cells")[0].alias("text"))
     (rows.repartition(N_FILES, "part").sortWithinPartitions("part", "sheet_pos", "row_idx").drop("sheet_pos")
-         .write.partitionBy("part").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).csv(path))
+         .write.mode("append").partitionBy("part").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    _rename(spark, path, "n.csv")
 
 
 def _folder(c):
@@ -363,3 +377,71 @@ def q_ingest_stream(spark, sf):
     v = spark.read.parquet(out)
     return v.select(_folder("source").alias("folder"), F.regexp_extract("chunk_id", "_([0-9]+)$", 1).alias("number"),
                     "part", "start_row", "end_row", "total_rows", "total_parts")
+
+
+# -- S7-S11 / J2 / P11: files of equal names, edited, emptied, deleted, unsupported ---------
+EDITED, EMPTIED, DELETED = 0, 1, 2
+
+
+def _changed_store(spark, sf):
+    """A store built from the documents' files, then brought up to date with a
+    folder in which one file is edited, one cut to its header, one gone, and
+    one of an unsupported kind is new: ``(store path, log of the second)``."""
+    from ..session import scratch_path
+    from ..sources.store import add_documents, log_path, rebuild_store
+    first, second, store = (scratch_path(spark, f"files-{x}") for x in ("first", "second", "store"))
+    rows = _docs(spark, sf)
+    write_document_files(spark, sf, first)
+    part = F.pmod("sheet_pos", F.lit(N_FILES))
+    write_document_files(spark, sf, second, rows.where(~part.isin(EMPTIED, DELETED) & ((part != EDITED) | (F.col("row_idx") > 0))))
+    head = rows.limit(0).select("sheet", "row_idx", F.col("cells")[0].alias("text"))
+    head.coalesce(1).write.option("header", True).csv(f"{second}/part={EMPTIED}")
+    _rename(spark, second, "n.csv")
+    rows.select("sheet").limit(1).coalesce(1).write.text(f"{second}/part={N_FILES}")
+    _rename(spark, second, "n.txt")
+    kw = {"max_tokens": K1_BUDGET, "overlap_tokens": K1_OVERLAP}
+    rebuild_store(spark, first, store, **kw)
+    add_documents(spark, second, store, remove_missing=True, **kw)
+    return store, spark.read.parquet(log_path(store))
+
+
+@register("ingest_files", f"""
+WITH RECURSIVE {O.DOC_LINES.replace("FROM doc_arr", f"FROM doc_arr WHERE sheet_pos % {N_FILES} NOT IN ({EMPTIED}, {DELETED})").strip()},
+edited AS (SELECT * FROM doc_lines WHERE sheet_pos % {N_FILES} <> {EDITED} OR row_idx > 0),
+{FILE_LINES.replace("FROM doc_lines", "FROM edited").strip()},
+{O.k1_bounds('file_lines', 'length(line) // 5', K1_BUDGET, K1_OVERLAP).strip()}
+SELECT CAST(source AS INT) AS folder, 'n_' || part AS chunk_id, start_row, end_row, total_rows, 'ok' AS status FROM k1
+UNION ALL SELECT {EMPTIED}, NULL, NULL, NULL, NULL, 'empty'
+UNION ALL SELECT {N_FILES}, NULL, NULL, NULL, NULL, 'rejected'""")
+def q_ingest_files(spark, sf):
+    """Chunks that are left in the store, and the files without any by the log."""
+    from ..sources.store import load_vectors
+    store, log = _changed_store(spark, sf)
+    live = load_vectors(spark, store).select(_folder("source").cast("int").alias("folder"), "source", "chunk_id", "start_row", "end_row", "total_rows")
+    # the last status of every file that the second folder has
+    status = log.groupBy("source").agg(F.min_by("status", F.when(F.col("status") != "ok", 0).otherwise(1)).alias("status"))
+    out = live.join(status, "source", "full").withColumn("folder", _folder("source").cast("int"))
+    return out.where("chunk_id IS NOT NULL OR status <> 'ok'").select("folder", "chunk_id", "start_row", "end_row", "total_rows", "status")
+
+
+FILE_HITS = 3
+
+
+@register("search_files", f"""
+SELECT item_id AS query_id, CAST({FILE_HITS} AS BIGINT) AS n_hits, CAST({FILE_HITS} AS BIGINT) AS n_right, CAST({FILE_HITS} AS BIGINT) AS n_live
+FROM benchmark WHERE text IS NOT NULL""")
+def q_search_files(spark, sf):
+    """Questions against the store of files that all share one name: hits a
+    question, hits whose text is of their own file and rows, and hits in
+    folders that are still there."""
+    from ..operators.embed import embed_queries
+    from ..operators.search import search_chunks
+    from ..sources.store import load_vectors
+    from .flagship import benchmark_questions
+    store, _ = _changed_store(spark, sf)
+    qv = embed_queries(benchmark_questions(spark, sf).where(F.col("query").isNotNull()))
+    hits = search_chunks(qv, load_vectors(spark, store), FILE_HITS, columns=("source", "start_row", "end_row", "content"))
+    own = F.concat(F.lit("Source: "), F.col("source"), F.lit("\nRows "), F.col("start_row").cast("string"), F.lit("-"), F.col("end_row").cast("string"), F.lit(":"))
+    live = ~_folder("source").cast("int").isin(EMPTIED, DELETED)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.contains("content", own)).alias("n_right"),
+                                        F.count_if(live).alias("n_live"))

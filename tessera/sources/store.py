@@ -10,19 +10,29 @@
   document's latest version.  So a retried ingest adds nothing, an edited
   file replaces its old chunks, and files of equal names stay apart.  Rows are
   only ever added, never rewritten.
+* A document that was read and has no chunks any more (emptied, cut to its
+  header), and on request one that is no longer listed, gets a tombstone: one
+  row without chunk under the next ingest number, in the same write as that
+  ingest's chunks.  As the latest version of its document it hides the older
+  rows when the table is read.  A file that can't be read keeps its chunks.
+* ``row_key`` (ingest number, document, sheet, part) names a stored row; the
+  search joins by it, see ``operators.search.search_chunks``.
 * ``rebuild_store`` and ``add_documents`` write one log row per listed file
   beside the table (``<path>_log``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.embed import DEFAULT_DIM, embed_chunks
+from ..operators.ids import ROW_KEY, with_row_key
 from ..operators.scan import join_small
 from ..session import cut_lineage
-from .ingest import METHOD_TOKENS, chunk, ingest_log, list_documents, scan_folder
+from .ingest import METHOD_TOKENS, STATUS_EMPTY, STATUS_OK, chunk, ingest_log, list_documents, scan_folder
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,6 +51,7 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite",
 
 
 VERSION, NUMBER = "doc_version", "ingest_no"
+REMOVED = "removed"          # version of a tombstone
 
 
 def _versions(chunks: DataFrame) -> DataFrame:
@@ -64,19 +75,35 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Every document's latest rows, without the helper columns."""
+    """Every document's latest rows with their ``row_key``, without the
+    helper columns; nothing of documents whose latest row is a tombstone."""
     df = _stored(spark, path)
     if "source" not in df.columns:
         return df.drop(NUMBER, VERSION)
     last = _latest(df).select("source", NUMBER)
-    return join_small(df, last, ["source", NUMBER], "left_semi").drop(NUMBER, VERSION)
+    live = join_small(df.where(F.col("chunk_id").isNotNull()), last, ["source", NUMBER], "left_semi")
+    return with_row_key(live, NUMBER).drop(NUMBER, VERSION)
+
 
+def _tombstones(stored: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """One row without chunk for every live document among ``gone``."""
+    last = _latest(stored).where(F.coalesce(VERSION, F.lit("")) != REMOVED)
+    none = [F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in columns if c not in ("source", VERSION)]
+    return (last.join(gone.select("source").distinct(), "source", "left_semi")
+            .select("source", F.lit(REMOVED).alias(VERSION), *none).select(*columns))
 
-def append_vectors(vectors: DataFrame, path: str) -> DataFrame:
+
+def append_vectors(vectors: DataFrame, path: str, read: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Append the documents that are new or differ from what is stored;
     returns the rows added.  A table without ``source`` (plain vectors) is
-    appended by ``chunk_id``."""
+    appended by ``chunk_id``.
+
+    ``read`` (``source``): documents that were read, with chunks or without;
+    stored ones of these without chunks in ``vectors`` are removed.
+    ``listed`` (``source``): all documents there are; stored ones that are not
+    among them are removed too."""
     spark = vectors.sparkSession
+    vectors = vectors.drop(ROW_KEY)
     if "source" not in vectors.columns:
         new = vectors
         if _exists(spark, path):
@@ -84,7 +111,8 @@ def append_vectors(vectors: DataFrame, path: str) -> DataFrame:
         new = cut_lineage(new.select(*vectors.columns))
         new.write.mode("append").parquet(path)
         return new
-    number, new = 1, vectors.join(_versions(vectors), "source")
+    number, new = 1, vectors.join(_versions(vectors), "source").select(*vectors.columns, VERSION)
+    gone = []
     if _exists(spark, path):
         stored = _stored(spark, path)
         last = _latest(stored)
@@ -94,11 +122,29 @@ def append_vectors(vectors: DataFrame, path: str) -> DataFrame:
                               .join(_versions(stored.filter(F.col(NUMBER) == 0)), "source").select("source", NUMBER, VERSION)))
         number = (stored.agg(F.max(NUMBER)).first()[0] or 0) + 1
         new = new.join(known.select("source", VERSION), ["source", VERSION], "left_anti")
+        if read is not None:
+            gone.append(read.select("source").join(vectors.select("source"), "source", "left_anti"))
+        if listed is not None:
+            gone.append(last.select("source").join(listed.select("source"), "source", "left_anti"))
+    columns = [*vectors.columns, VERSION]
+    rows = new.select(*columns)
+    if gone:
+        rows = rows.unionByName(_tombstones(stored, reduce(DataFrame.union, gone), columns))
     # fix the new rows before writing: read lazily afterwards, the anti-join
     # would see them in the store and report nothing added
-    new = cut_lineage(new.select(*vectors.columns, VERSION, F.lit(number).cast("bigint").alias(NUMBER)))
-    new.write.mode("append").parquet(path)
-    return new.drop(VERSION, NUMBER)
+    rows = cut_lineage(rows.withColumn(NUMBER, F.lit(number).cast("bigint")))
+    rows.write.mode("append").parquet(path)
+    return rows.where(F.col("chunk_id").isNotNull()).drop(VERSION, NUMBER)
+
+
+def remove_documents(sources: DataFrame, path: str) -> int:
+    """Tombstones for the documents named in ``source``; how many there were."""
+    stored = _stored(sources.sparkSession, path)
+    number = (stored.agg(F.max(NUMBER)).first()[0] or 0) + 1
+    columns = [c for c in stored.columns if c != NUMBER]
+    rows = cut_lineage(_tombstones(stored, sources, columns).withColumn(NUMBER, F.lit(number).cast("bigint")))
+    rows.write.mode("append").parquet(path)
+    return rows.count()
 
 
 def _ingest(spark: SparkSession, root: str, method: str, chunk_kw: dict) -> tuple[DataFrame, DataFrame]:
@@ -118,11 +164,14 @@ def rebuild_store(spark: SparkSession, root: str, path: str, method: str = METHO
 
 
 def add_documents(spark: SparkSession, root: str, path: str, method: str = METHOD_TOKENS,
-                  dim: int = DEFAULT_DIM, **chunk_kw) -> DataFrame:
+                  dim: int = DEFAULT_DIM, remove_missing: bool = False, **chunk_kw) -> DataFrame:
     """S11 (batch): chunk and embed the files under ``root``; new and changed
-    documents are added."""
+    documents are added, emptied ones removed, and with ``remove_missing``
+    (``root`` holds all documents) those that are no longer there."""
     chunks, log = _ingest(spark, root, method, chunk_kw)
-    added = append_vectors(embed_chunks(chunks, dim), path)
+    log = cut_lineage(log)
+    added = append_vectors(embed_chunks(chunks, dim), path, read=log.where(F.col("status").isin(STATUS_OK, STATUS_EMPTY)),
+                           listed=log.select("source") if remove_missing else None)
     log.write.mode("append").parquet(log_path(path))
     return added
 
