@@ -12,11 +12,14 @@ component of links each document belongs to.
    with the shingles most frequent in a sample last, so that passages common
    to many documents don't bring them together.  The prefixes are dealt by
    hash range, packed into arrays; shingles that only one class has end there.
-3. Of every group of classes with a common prefix shingle the links to one of
-   them are verified first (a star: as many pairs as members), by exact
-   intersection of the whole sets; the links make first components.
-4. Groups that still hold several components are joined by signature trees:
-   leaves hold the bitmap of a class's shared prefix shingles and its size,
+3. Groups of two classes with a common prefix shingle are verified as pairs,
+   by exact intersection of the whole sets.  In larger groups stars come
+   first, in rounds: each class asks one other, the highest-ranked class of
+   another component in most of its groups, so a round has at most as many
+   pairs as classes; the links make components.  The rank puts a text before
+   its edited copies.  Rounds go on while they add a tenth of the links.
+4. Groups that still hold several components are joined by signature trees,
+   dealt out by shingle, the attributes of a class once a part: leaves hold the bitmap of a class's shared prefix shingles and its size,
    inner nodes the OR of the bitmaps and the range of the sizes; a dual
    traversal drops pairs of nodes that lie in one component or whose largest
    possible overlap is too small.  What is left is verified like the star.
@@ -32,19 +35,19 @@ and no group of copies is expanded into pairs.  No link is lost: steps 2 and
 Defined cases: null, empty and blank texts have no shingles, ``n_shingles``
 0 and are their own component; repeated rows and equal sets share a
 component; a null ``doc_id`` counts as no id (it never names a component that
-has another); empty tables give an empty result; further columns are ignored.
+has another), and every row without one is a document of its own; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import textbatch as tb
-from .common import texts, with_ids
+from .common import SMALL_IDS, small, texts
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,6 +58,8 @@ SAMPLE_LEAST = 3             # sampled documents that make a shingle frequent
 MAX_FREQUENT = 1 << 16       # frequent shingles that the order knows
 BLOOM_BITS = 1 << 23
 LEAF = 32
+ROUNDS = 24                  # stars before the trees, at most
+LEAST_GAIN = 10              # stars go on while one adds a link to ten: what is left is the trees'
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -105,10 +110,10 @@ def _light(it):
         for lo, hi, data, off in tb.slices(batch.column(1)):
             sets = shingle_sets(data, off)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([bitmap(s) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "bitmap"])
+                names=["doc_id", "key", "n_shingles", "sid", "bitmap"])
 
 
 def _sampled(it):
@@ -170,7 +175,7 @@ def _prefixes(it, packed, n_buckets):
 
 
 GROUPED = "kind int, x long, y long, n long, b0 long, b1 long, b2 long, b3 long"
-STAR, MEMBER, SHARED = 0, 1, 2
+PAIR, MEMBER, SHARED = 0, 1, 2
 
 
 def _bits(sid: np.ndarray, h: np.ndarray):
@@ -187,8 +192,9 @@ def _bits(sid: np.ndarray, h: np.ndarray):
 
 
 def _group(table: pa.Table) -> pa.Table:
-    """One hash range: stars and members of the groups of classes that share
-    a prefix shingle, and each class's bitmap of shared shingles."""
+    """One hash range: the groups of classes that share a prefix shingle, as
+    a pair if there are two and as members if more, and each class's bitmap
+    of shared shingles."""
     h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("h").to_pylist()])
     sid = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("sid").to_pylist()])
     order = np.lexsort((sid, h))
@@ -204,17 +210,17 @@ def _group(table: pa.Table) -> pa.Table:
     h, sid, centre, per, first_half = h[shared], sid[shared], centre[shared], per[shared], first_half[shared]
     if not len(h):
         return pa.table({c.split()[0]: pa.array([], pa.int32() if c.startswith("kind") else pa.int64()) for c in GROUPED.split(", ")})
-    star = np.unique(np.stack([centre, sid], axis=1)[sid != centre], axis=0)
     many = per > 2
+    pair = np.unique(np.stack([centre, sid], axis=1)[~many & (sid != centre)], axis=0)
     order = np.argsort(sid, kind="stable")
     ids, n, words = _bits(sid[order], h[order])
-    k = [len(star), int(many.sum()), len(ids)]
+    k = [len(pair), int(many.sum()), len(ids)]
     pad = np.zeros(k[0] + k[1], dtype=np.int64)
     marks = np.append(np.zeros(k[0], dtype=np.int64), first_half[many])
     return pa.table({
-        "kind": pa.array(np.repeat([STAR, MEMBER, SHARED], k).astype(np.int32)),
-        "x": np.concatenate([star[:, 0], h[many].view(np.int64), ids]),
-        "y": np.concatenate([star[:, 1], sid[many], np.zeros(k[2], dtype=np.int64)]),
+        "kind": pa.array(np.repeat([PAIR, MEMBER, SHARED], k).astype(np.int32)),
+        "x": np.concatenate([pair[:, 0], h[many].view(np.int64), ids]),
+        "y": np.concatenate([pair[:, 1], sid[many], np.zeros(k[2], dtype=np.int64)]),
         "n": np.concatenate([marks, n]), **{f"b{w}": np.concatenate([pad, words[w]]) for w in range(4)}})
 
 
@@ -304,22 +310,28 @@ def _need(a, b):
     return (a - least_overlap(a) + 1) - (a - pair_overlap(a, b))
 
 
-def _tree_join(table: pa.Table) -> pa.Table:
-    """Candidate pairs of the groups (by shingle) in one range of shingles."""
-    col = {c: table.column(c).to_numpy() for c in table.column_names}
-    order = np.lexsort((col["sid"], col["size"], col["h"]))
-    h, sid, size, shared, root, first = (col[c][order] for c in ("h", "sid", "size", "shared", "root", "early"))
-    whole = [np.frombuffer(x, dtype=np.uint64) for x in col["bitmap"][order]]
-    bits = np.stack([col[f"b{w}"][order].view(np.uint64) for w in range(4)], axis=1)
+def _tree_join(members: pa.Table, classes: pa.Table) -> pa.Table:
+    """Candidate pairs of the groups (by shingle) of one part; the part's
+    classes come once each, however many of its groups they are in."""
+    col = {c: members.column(c).to_numpy() for c in ("h", "m", "early")}
+    of = {c: classes.column(c).to_numpy() for c in ("sid", "size", "shared", "root")}
+    by = np.argsort(of["sid"])
+    at = by[np.searchsorted(of["sid"], col["m"], sorter=by)]
+    order = np.lexsort((col["m"], of["size"][at], col["h"]))
+    h, first, at = col["h"][order], col["early"][order], at[order]
+    maps = classes.column("bitmap").combine_chunks()
+    bits = np.stack([classes.column(f"b{w}").to_numpy().view(np.uint64) for w in range(4)], axis=1)
     cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     out = []
     for x, y in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist()):
-        comp = np.unique(root[x:y], return_inverse=True)[1]
-        a, b = SignatureTree(size[x:y], shared[x:y], bits[x:y], comp, first[x:y] == 1, whole[x:y]).pairs()
+        k = at[x:y]
+        comp = np.unique(of["root"][k], return_inverse=True)[1]
+        whole = [np.frombuffer(maps[i].as_buffer(), dtype=np.uint64) for i in k.tolist()]
+        a, b = SignatureTree(of["size"][k], of["shared"][k], bits[k], comp, first[x:y] == 1, whole).pairs()
         if len(a):
-            p = np.stack([sid[x:y][a], sid[x:y][b]], axis=1)
+            p = np.stack([of["sid"][k][a], of["sid"][k][b]], axis=1)
             p.sort(axis=1)
-            out.append(p)
+            out.append(np.unique(p, axis=0))
     p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
     return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
@@ -414,10 +426,58 @@ def components(links: DataFrame) -> DataFrame:
             return lab
 
 
+def _ranked(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with ``rank``, the mean size of the groups over a class's
+    prefix, and ``root``, the class itself.  A text of which others are edited
+    copies ranks above them: their edited shingles have no group."""
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    p = F.col("size") - F.floor((PERCENT * F.col("size") + 99) / 100) + 1
+    rank = (members.join(sizes, "h").groupBy("sid").agg(F.sum("k").alias("k"))
+            .join(classes.select("sid", "size"), "sid").select("sid", (F.col("k") / p).alias("rank")))
+    return cut_lineage(members.join(rank, "sid").select("h", "sid", "early", "rank", F.col("sid").alias("root")))
+
+
+def _asked(members: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """At most one pair ``a < b`` a class, not among those ``asked``: with the
+    highest-ranked class of most of its groups that is of another component."""
+    centre = members.groupBy("h").agg(F.max(F.struct("rank", "sid", "root")).alias("m"))
+    star = (members.join(centre, "h").filter(F.col("root") != F.col("m.root"))
+            .groupBy(F.col("m.sid").alias("c"), "sid").agg(F.count(F.lit(1)).alias("votes"), F.max("m.rank").alias("rank")))
+    if asked is not None:
+        done = asked.unionByName(asked.select(F.col("a").alias("b"), F.col("b").alias("a"))).toDF("c", "sid")
+        star = star.join(done, ["c", "sid"], "left_anti")
+    best = star.groupBy("sid").agg(F.max(F.struct("votes", "rank", "c")).alias("m"))
+    return best.select(F.least("sid", "m.c").alias("a"), F.greatest("sid", "m.c").alias("b")).distinct()
+
+
+def _open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (``h, sid, early, rank``) with ``root`` of the groups that hold
+    several components and may bring two of them together."""
+    member = (members.join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    open_ = (member.groupBy("h").agg(((F.min("root") != F.max("root")) & (F.max("early") == 1)).alias("open"))
+             .filter("open").select("h"))
+    return cut_lineage(member.join(open_, "h").select("h", "sid", "early", "rank", "root"))
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
-    docs = texts(docs)
-    light = cut_lineage(docs.mapInArrow(_light, "doc_id long, n_shingles long, sid long, bitmap binary"))
+    named = _named(docs)
+    name = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return (named.join(name, "root", "left")
+            .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def _row_key() -> Column:
+    """Rows of one id and text have one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, n_shingles, sid, root`` of every row: its class and the
+    smallest class of its component (both null without shingles)."""
+    keyed = texts(docs).withColumn("key", _row_key())
+    docs = keyed.drop("key")
+    light = cut_lineage(keyed.mapInArrow(_light, "doc_id long, key long, n_shingles long, sid long, bitmap binary"))
     total = light.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(16, -(-int(total) // (4 * BUCKET_HASHES)))
     spark = docs.sparkSession
@@ -429,41 +489,56 @@ def similarity_components(docs: DataFrame) -> DataFrame:
                           .agg(F.sum("n").alias("shared"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(4)])
                           .join(sizes, "sid"))
 
-    star = grouped.filter(F.col("kind") == STAR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = verified(plausible(star, classes), docs)
-    comps = components(links)
-
-    member = (grouped.filter(F.col("kind") == MEMBER).select(F.col("x").alias("h"), F.col("y").alias("sid"), F.col("n").alias("early"))
-              .join(comps.withColumnRenamed("id", "sid"), "sid", "left")
-              .withColumn("root", F.coalesce("root", "sid")))
-    open_ = (member.groupBy("h").agg(((F.min("root") != F.max("root")) & (F.max("early") == 1)).alias("open"))
-             .filter("open").select("h"))
-    rest = cut_lineage(member.join(open_, "h"))
-    # few parts: a pair is found once a part, however many groups of the part it shares
+    pairs = grouped.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    rest = _ranked(grouped.filter(F.col("kind") == MEMBER).select(F.col("x").alias("h"), F.col("y").alias("sid"), F.col("n").alias("early")), classes)
+    # stars in rounds: a class asks one centre a round, that of most of its open groups
+    new = pairs.union(_asked(rest))
+    asked = links = comps = None
+    for _ in range(ROUNDS):
+        new = cut_lineage(new.distinct() if asked is None else new)
+        found = verified(plausible(new, classes), docs)
+        n_found = found.count()
+        n_links = n_found if links is None else links.count()
+        asked = new if asked is None else cut_lineage(asked.unionByName(new))
+        links = found if links is None else cut_lineage(links.unionByName(found))
+        if n_found or comps is None:
+            comps = components(links)
+            rest = _open_groups(rest.drop("root"), comps)
+        if n_found * LEAST_GAIN < n_links or not n_found:
+            break
+        new = _asked(rest, asked)
     n_parts = -(-rest.count() // PART_MEMBERS) or 1
-    more = (rest.join(classes, "sid").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_parts))).groupBy("part")
-            .applyInArrow(_tree_join, "a long, b long").distinct().join(links, ["a", "b"], "left_anti"))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_parts)))
+    per_part = rest.groupBy(F.col("part").alias("p"), F.col("sid").alias("s")).agg(F.first("root").alias("root"))
+    per_part = per_part.join(classes, F.col("s") == F.col("sid")).drop("s")
+    more = (rest.select("part", "h", F.col("sid").alias("m"), "early").groupBy("part").cogroup(per_part.groupBy("p"))
+            .applyInArrow(_tree_join, "a long, b long").distinct().join(asked, ["a", "b"], "left_anti"))
     more = cut_lineage(more)
     if more.limit(1).count():
         found = verified(more, docs)
         if found.limit(1).count():
             comps = components(links.union(found))
 
-    named = light.drop("bitmap").join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    name = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return (named.join(name, "root", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    return (light.drop("bitmap").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+            .withColumn("root", F.coalesce("root", "sid")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of each component's smallest id (all columns of ``docs``); of
-    rows that repeat id and text one stays.  Rows without an id stay unless
-    their component has a row with one."""
-    found = cut_lineage(similarity_components(docs))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = with_ids(docs, keep)
-    # only a table that repeats ids needs another exchange of its texts
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if not again:
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id is null"))
+    """One row of each component, that of the smallest id (null last; all
+    columns of ``docs``).  Rows without shingles are linked with nothing and
+    stay, but of rows that repeat an id and a text one stays."""
+    named = cut_lineage(_named(docs))
+    first = (named.filter("root is not null").groupBy("root")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "key")).alias("m")).select("m.key"))
+    keys = cut_lineage(first.union(named.filter("root is null").select("key")).distinct())
+    one = small(keys.withColumnRenamed("key", "__key"), SMALL_IDS)
+    kept = docs.withColumn("__row", _row_key()).join(one, F.col("__row") == F.col("__key"), "left_semi")
+    # only rows that repeat need another exchange of their texts
+    again = named.filter("doc_id is not null or root is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    again = cut_lineage(again.join(keys, "key", "left_semi"))
+    if not again.limit(1).count():
+        return kept.drop("__row")
+    more = small(again.withColumnRenamed("key", "__key"), SMALL_IDS)
+    twice = F.col("__row") == F.col("__key")
+    return (kept.join(more, twice, "left_anti").unionByName(kept.join(more, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+            .drop("__row"))

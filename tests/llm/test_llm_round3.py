@@ -245,3 +245,59 @@ def test_periodic_query_on_small_table():
     batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])
     got = [tuple(r.values()) for out in periodic_runs._batches([batch]) for r in out.to_pylist()]
     assert got == [row_brute(*d) for d in docs]
+
+
+# ------------------------------------------------- 10, near duplicates by row
+
+def shingles(text):
+    w = (text or "").translate(LOWER).split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def groups_brute(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("rounds, members", [(24, 150_000), (1, 40)])
+def test_one_row_of_each_group_stays(spark, monkeypatch, rounds, members):
+    from tessera.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "PART_MEMBERS", members)
+    rng = random.Random(rounds)
+    rows = []
+    for g in range(12):                   # copies edited from one text: most link with it, not with one another
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(rng.randrange(1, 14)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, len(rows)]), " ".join(w)))
+    rows += rows[:6] + [(None, ""), (None, ""), (900, None), (900, None), (None, "Two words"), (901, "two words")]
+    rows = [(i, t) for i, t in rows]
+    root = groups_brute([t for _, t in rows])
+    want = []
+    for r in set(root):
+        of = [row for row, x in zip(rows, root) if x == r]
+        if shingles(of[0][1]):
+            of = [min(of, key=lambda row: (row[0] is None, row[0] or 0))] if any(i is not None for i, _ in of) else of
+            want.append((of[0][0], None if of[0][0] is None else of[0][1], r if of[0][0] is None else None))
+    got = jaccard_join.keep_first(docs_df(spark, rows)).collect()
+    assert got and all(len(r) == len(docs_df(spark, rows).columns) for r in got)
+    full = [(r.doc_id, r.text) for r in got if shingles(r.text)]
+    assert sorted((w[:2] for w in want if w[0] is not None), key=str) == sorted((f for f in full if f[0] is not None), key=str)
+    # groups whose rows have no id keep one of their rows
+    at = {t: x for (i, t), x in zip(rows, root)}
+    assert sorted(at[t] for i, t in full if i is None) == sorted(w[2] for w in want if w[0] is None)
+    assert sorted((str(r.doc_id), r.text) for r in got if not shingles(r.text)) == [("900", None), ("None", ""), ("None", "")]
+    comp = jaccard_join.similarity_components(docs_df(spark, rows)).collect()
+    least = {x: min((i for (i, _), y in zip(rows, root) if y == x and i is not None), default=None) for x in root}
+    expect = sorted(((i, least[x] if shingles(t) else i) for (i, t), x in zip(rows, root)), key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in comp), key=str) == expect
