@@ -113,7 +113,7 @@ def numbered(pages: DataFrame) -> DataFrame:
     x = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"),
                      F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     at = scratch_path(pages.sparkSession, "warc-pages")
-    x.withColumn("digest", F.sha2(F.col("payload"), 256)).write.parquet(at)
+    x.withColumn("digest", F.sha2(F.col("payload"), 256)).write.option("compression", "zstd").parquet(at)
     return pages.sparkSession.read.parquet(at)
 
 
@@ -332,8 +332,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     at = scratch_path(spark, "warc")
     write_pages(pages, at)
     table = scratch_path(spark, "warc-records")
-    read_records(spark, at, with_payload=False).write.parquet(table)
+    read_records(spark, at, with_payload=False).write.option("compression", "zstd").parquet(table)
     records = spark.read.parquet(table)
     captures = scratch_path(spark, "warc-captures")
-    assemble(records).write.parquet(captures)
+    assemble(records).write.option("compression", "zstd").parquet(captures)
     return digest_rows(spark.read.parquet(captures))
