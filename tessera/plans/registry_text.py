@@ -314,11 +314,61 @@ def q_store_roundtrip(spark, sf):
                        F.round(esum, 4).alias("esum"))
 
 
-# -- K2 (rows only: checked against the single-process rule in pytest) ----------------------
-@register("chunk_recursive")
+# -- K2: pieces (blocks between blank lines, lines, words), runs of short ones, merge chain --------
+K2_BUDGET, K2_OVERLAP = 200, 20
+_SHEET = "source, sheet"
+_K2_SQL = f"""
+WITH RECURSIVE {O.DOC_LINES.strip()},
+ln AS (
+  SELECT source, sheet, sheet_pos, row_idx + 1 AS k, CASE WHEN cell IS NULL THEN '' WHEN regexp_matches(cell, '[,"\\n\\r]')
+         THEN '"' || replace(cell, '"', '""') || '"' ELSE cell END AS l, false AS fin FROM doc_lines
+  UNION ALL SELECT source, sheet, max(sheet_pos), 0, 'text', false FROM doc_lines GROUP BY {_SHEET}
+  UNION ALL SELECT source, sheet, max(sheet_pos), max(row_idx) + 2, '', true FROM doc_lines GROUP BY {_SHEET}
+),
+pc AS (SELECT *, CASE WHEN k = 0 THEN l ELSE chr(10) || l END AS piece, l = '' AND k > 0 AND NOT fin AS e FROM ln),
+nl AS (SELECT *, k - 1 - max(CASE WHEN NOT e THEN k END) OVER (PARTITION BY {_SHEET} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM pc),
+bl AS (SELECT *, sum(CASE WHEN e AND r % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {_SHEET} ORDER BY k) AS blk, bool_or(e) OVER (PARTITION BY {_SHEET}) AS has FROM nl),
+bt AS (SELECT *, has AND sum(length(piece)) OVER (PARTITION BY {_SHEET}, blk) // 5 < {K2_BUDGET} AS whole FROM bl),
+wd AS (SELECT source, sheet, sheet_pos, k, unnest(string_split(piece, ' ')) AS w, unnest(range(len(string_split(piece, ' ')))) AS j
+       FROM bt WHERE NOT whole AND length(piece) // 5 >= {K2_BUDGET}),
+items AS (
+  SELECT source, sheet, max(sheet_pos) AS sheet_pos, min(k) AS k, 0 AS j, string_agg(piece, '' ORDER BY k) AS txt, 'b' AS g FROM bt WHERE whole GROUP BY {_SHEET}, blk
+  UNION ALL SELECT source, sheet, sheet_pos, k, 0, piece, 'l' || blk FROM bt WHERE NOT whole AND length(piece) // 5 < {K2_BUDGET}
+  UNION ALL SELECT source, sheet, sheet_pos, k, j, CASE WHEN j = 0 THEN w ELSE ' ' || w END,
+                   CASE WHEN length(w) + CASE WHEN j = 0 THEN 0 ELSE 1 END >= 5 * {K2_BUDGET} THEN 'x' || k || '.' || j ELSE 'w' || k END
+  FROM wd WHERE j > 0 OR w <> ''
+),
+ru AS (SELECT *, sum(CASE WHEN g IS DISTINCT FROM pg THEN 1 ELSE 0 END) OVER (PARTITION BY {_SHEET} ORDER BY k, j) AS run
+       FROM (SELECT *, lag(g) OVER (PARTITION BY {_SHEET} ORDER BY k, j) AS pg FROM items)),
+tk AS (SELECT *, length(txt) // 5 AS tok, row_number() OVER (PARTITION BY {_SHEET}, run ORDER BY k, j) - 1 AS i FROM ru),
+it AS (SELECT *, sum(tok) OVER (PARTITION BY {_SHEET}, run ORDER BY i) AS p_in, sum(tok) OVER (PARTITION BY {_SHEET}, run ORDER BY i) - tok AS p_ex FROM tk),
+ends AS (SELECT a.source, a.sheet, a.run, a.i AS s, min(b.i) AS e FROM it a JOIN it b
+         ON a.source = b.source AND a.sheet = b.sheet AND a.run = b.run AND b.i > a.i AND b.p_in > a.p_ex + {K2_BUDGET} GROUP BY ALL),
+starts AS (SELECT e.source, e.sheet, e.run, e.i AS e, min(x.i) AS s FROM it e JOIN it x
+           ON e.source = x.source AND e.sheet = x.sheet AND e.run = x.run AND x.i <= e.i AND e.p_ex - x.p_ex <= {K2_OVERLAP}
+              AND (e.p_in - x.p_ex <= {K2_BUDGET} OR e.p_ex = x.p_ex) GROUP BY ALL),
+chain AS (
+  SELECT source, sheet, run, CAST(0 AS BIGINT) AS s FROM it WHERE i = 0
+  UNION ALL
+  SELECT c.source, c.sheet, c.run, st.s FROM chain c
+  JOIN ends ON ends.source = c.source AND ends.sheet = c.sheet AND ends.run = c.run AND ends.s = c.s
+  JOIN starts st ON st.source = c.source AND st.sheet = c.sheet AND st.run = c.run AND st.e = ends.e
+),
+dc AS (
+  SELECT c.source, c.sheet, max(it.sheet_pos) AS sheet_pos, c.run, c.s, {O.strip("string_agg(it.txt, '' ORDER BY it.i)")} AS content
+  FROM chain c LEFT JOIN ends ON ends.source = c.source AND ends.sheet = c.sheet AND ends.run = c.run AND ends.s = c.s
+  JOIN it ON it.source = c.source AND it.sheet = c.sheet AND it.run = c.run AND it.i >= c.s AND it.i < coalesce(ends.e, 1000000000)
+  GROUP BY c.source, c.sheet, c.run, c.s
+),
+k2 AS (SELECT source, sheet, sheet_pos, content, row_number() OVER (PARTITION BY {_SHEET} ORDER BY run, s) - 1 AS part FROM dc WHERE content <> ''),
+{O.chunk_ids('k2', '-', 'k2_ids').strip()}
+SELECT lower(chunk_id) AS chunk_id, source, sheet, part, CAST({O.line_count('content')} AS BIGINT) AS num_rows, content FROM k2_ids"""
+
+
+@register("chunk_recursive", _K2_SQL)
 def q_chunk_recursive(spark, sf):
     from ..operators.chunk_recursive import chunk_recursive
-    ch = chunk_recursive(_docs(spark, sf), budget=200, overlap=20)
+    ch = chunk_recursive(_docs(spark, sf), budget=K2_BUDGET, overlap=K2_OVERLAP)
     return ch.select("chunk_id", "source", "sheet", "part", "num_rows", "content")
 
 

@@ -30,7 +30,7 @@ def duck():
 def test_registry_is_complete():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(E.oracle_sql()) == {"chunk_recursive", "knn_lsh", "ingest_stream"}
+    assert set(QUERIES) - set(E.oracle_sql()) == {"knn_lsh"}
 
 
 @pytest.mark.parametrize("name", NAMES)
