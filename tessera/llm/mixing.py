@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import row_ordinal
 from ..session import cut_lineage
 from .common import WORD, small, unit_hash
 
@@ -71,7 +72,18 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every
     row of ``docs``; ``taken = copies * size`` and ``copies <= most``."""
+    return _mixed(docs, seed, weights, share, most).drop("key")
+
+
+def _row_key() -> Column:
+    """Rows of one id, source and text have one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
+def _mixed(docs: DataFrame, seed: int, weights, share: float, most: int) -> DataFrame:
+    # rows are numbered once, in the written table
     base = cut_lineage(docs.select(
+        F.monotonically_increasing_id().alias("row"), _row_key().alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
         unit_hash(F.col("doc_id"), F.col("text"), seed=seed).alias("u")))
@@ -97,19 +109,18 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
     ranked = ranked.withColumn("upto", F.col("off") + F.sum("size").over(within))
     # nearest cut: a document is taken while its middle is not past what is due
     ranked = cut_lineage(ranked.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("due")).cast("int"))
-                         .select("doc_id", "source", "size", "source_size", "target", "certain", "due", "rank_key", "extra"))
+                         .select("row", "key", "doc_id", "source", "size", "source_size", "target", "certain", "due", "rank_key", "extra"))
     got = ranked.groupBy("source", "due").agg(F.sum(F.col("extra") * F.col("size")).alias("got"))
     gap = small(got.select(F.col("source").alias("s"), (F.col("due") - F.col("got")).alias("gap")))
     left = (ranked.filter("extra = 0 and size > 0").join(gap, F.col("source").eqNullSafe(F.col("s")))
             .filter(F.col("size") < 2 * F.col("gap")))
     best = left.groupBy("source").agg(F.min(F.struct(
         F.abs(F.col("size") - F.col("gap")).alias("miss"), F.col("rank_key").alias("k"), F.col("doc_id").alias("d"),
-        F.col("size").alias("z"))).alias("f"))
-    best = best.select(F.col("source").alias("s"), F.col("f.k").alias("fk"), F.col("f.d").alias("fd"), F.col("f.z").alias("fz"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("rank_key") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("fd")) \
-        & (F.col("size") == F.col("fz")) & (F.col("extra") == 0)
-    done = ranked.join(best, same, "left").withColumn("copies", F.col("certain") + F.col("extra") + F.col("fk").isNotNull().cast("int"))
-    cols = ["doc_id", "source", "size", "source_size", "target"]
+        F.col("size").alias("z"), "row")).alias("f"))
+    # one row a source, whatever rows are equal to it
+    best = small(best.select(F.col("f.row").alias("fr")))
+    done = ranked.join(best, F.col("row") == F.col("fr"), "left").withColumn("copies", F.col("certain") + F.col("extra") + F.col("fr").isNotNull().cast("int"))
+    cols = ["key", "doc_id", "source", "size", "source_size", "target"]
     none = x.filter(F.col("pi") <= 0).select(*cols, F.col("certain").alias("copies"))
     out = done.select(*cols, "copies").unionByName(none)
     return out.select(*cols, F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -117,13 +128,16 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
 
 def copies(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it,
-    with ``copy`` 1, 2, ... (rows that repeat id, source and text share what
-    their group was given, the first of them first)."""
-    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string"))]
-    got = (mix(docs, seed, weights, share, most).filter("copies > 0")
-           .groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-           .toDF("__d", "__s", "__n", "__copies", "__rows"))
-    same = key[0].eqNullSafe(F.col("__d")) & key[1].eqNullSafe(F.col("__s")) & (key[2] == F.col("__n"))
-    every = F.ceil(F.col("__copies") / F.col("__rows"))
-    return (docs.join(got, same).withColumn("copy", F.explode(F.sequence(F.lit(1), every.cast("int"))))
-            .select(*docs.columns, "copy"))
+    with ``copy`` 1, 2, ...  Rows that repeat id, source and text share what
+    their group was given as evenly as whole copies allow."""
+    got = (_mixed(docs, seed, weights, share, most).groupBy("key")
+           .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0"))
+    got = cut_lineage(got.withColumnRenamed("key", "__key"))
+    x = docs.withColumn("__k", _row_key()).join(got, F.col("__k") == F.col("__key"))
+    once = x.filter("__rows = 1").withColumn("__n", F.col("__copies"))
+    if got.filter("__rows > 1").limit(1).count():
+        again = row_ordinal(x.filter("__rows > 1").withColumn("__id", F.monotonically_increasing_id()), ["__k"], ["__id"], "__at")
+        each = F.floor(F.col("__copies") / F.col("__rows"))
+        again = again.withColumn("__n", each + (F.col("__at") < F.col("__copies") - each * F.col("__rows")).cast("int")).filter("__n > 0")
+        once = once.select(*docs.columns, "__n").unionByName(again.select(*docs.columns, "__n"))
+    return (once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns, "copy"))

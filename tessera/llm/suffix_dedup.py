@@ -27,9 +27,8 @@ bytes of all strings that have it, is at most ``2 * LENGTH - GRAM`` bytes.
 
 Defined cases: null texts are empty; empty texts and texts shorter than
 ``LENGTH`` lose nothing but may be any length; a null ``doc_id`` sorts first;
-rows that repeat a ``doc_id`` count as one document (an equal start in an
-equal id is not earlier) and each gets its own row; an empty table gives an
-empty result; further columns are kept by ``cut_repeats`` and ignored by
+every row is a document of its own, rows of one id (or without one) go in order
+of their texts; an empty table gives an empty result; further columns are kept by ``cut_repeats`` and ignored by
 ``repeats``.
 """
 
@@ -43,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import row_ordinal
 from ..session import cut_lineage
 from . import textbatch as tb
 from .common import texts
@@ -330,7 +330,7 @@ def _indexed(table: pa.Table) -> pa.Table:
 
 def repeats(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc, lo, hi``: spans of bytes to remove (they may overlap), by
-    ``doc_id`` (null as the smallest number)."""
+    ``doc_id``, of rows that have an id each."""
     docs = texts(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-int(total) // BUCKET_BYTES))
@@ -354,9 +354,22 @@ def repeats(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return whole.union(indexed).union(single)
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """One row per document with repeats: ``__doc, __spans``."""
-    return (repeats(docs).groupBy(F.col("doc").alias("__doc"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__doc``, a number of its own for every row, in order of
+    ids: the id itself where all rows have one of their own, else a running
+    number (rows without an id first, rows of one id in order of their texts),
+    written once."""
+    ident = F.col("doc_id").cast("long")
+    shared = docs.groupBy(ident.alias("i")).agg(F.count(F.lit(1)).alias("n")).filter("i IS NULL OR n > 1").limit(1).count()
+    if not shared:
+        return docs.withColumn("__doc", ident)
+    x = docs.withColumns({"__i": ident, "__t": F.col("text").cast("string"), "__row": F.monotonically_increasing_id()})
+    return row_ordinal(x, [], ["__i", "__t", "__row"], "__doc").drop("__i", "__t", "__row")
+
+
+def _spans(numbered: DataFrame) -> DataFrame:
+    """One row per document with repeats: ``__d, __spans``."""
+    return (repeats(numbered.select(F.col("__doc").alias("doc_id"), "text")).groupBy(F.col("doc").alias("__d"))
             .agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")))
 
 
@@ -418,8 +431,8 @@ def _kept(it):
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(_spans(docs), key == F.col("__doc"), "left")
+    numbered = _numbered(docs)
+    return numbered.join(_spans(numbered), F.col("__doc") == F.col("__d"), "left").drop("__doc", "__d")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -434,7 +447,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     that loses some of its bytes goes as a whole."""
     from pyspark.sql.types import StructType
 
-    joined = _with_spans(docs).drop("__doc")
+    joined = _with_spans(docs)
     out = joined.mapInArrow(_kept, StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

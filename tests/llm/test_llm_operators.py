@@ -177,7 +177,33 @@ def test_mixing_targets_and_words(spark):
     assert mixing.mix(docs_df(spark, [])).count() == 0
     whole = mixing.copies(df)
     assert whole.columns == df.columns + ["copy"]
-    assert whole.filter("doc_id between 0 and 899 and doc_id <> 5").count() == sum(r.copies for r in got if r.doc_id not in (None, 5, 2000, 2001))
+    count = lambda rs: collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in rs)
+    given = collections.Counter()
+    for r in got:
+        given[r.doc_id, r.source, r.size] += r.copies
+    assert count(whole.collect()) == +given
+
+
+def test_mixing_takes_what_it_is_due_of_repeated_rows(spark):
+    rows = [(1, "w " * 3, "a")] * 40 + [(None, "x " * k, "b") for k in range(1, 60)] + [(None, "y " * 5, "b")] * 30 + [(i, "z " * 4, "c") for i in range(9, 70)]
+    df = docs_df(spark, rows)
+    got = mixing.mix(df).collect()
+    for s in "abc":
+        of = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 5 / 2 + 1, s
+    copies = mixing.copies(df).collect()
+    assert len(copies) == sum(r.copies for r in got)
+    each = collections.Counter((r.doc_id, r.text, r.copy) for r in copies)
+    assert each[1, "w " * 3, 1] <= 40 and each[None, "y " * 5, 1] <= 30
+
+
+def test_decontamination_judges_every_row(spark):
+    rng = random.Random(12)
+    item = sentence(rng, 30)
+    clean = [sentence(rng, 50) for _ in range(3)]
+    rows = [(None, clean[0]), (None, clean[1] + " " + item), (None, clean[2]), (4, clean[0]), (4, item + " " + clean[1]), (4, clean[2]), (4, clean[2]), (5, None)]
+    got = decontaminate.keep_clean(docs_df(spark, rows), bench_df(spark, [(0, item, 0)]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
 
 
 # ---------------------------------------------------------------- 4: licenses
@@ -276,7 +302,8 @@ def test_decontamination_rows(spark, odd):
     assert got == sorted((i, k) for i in ("200", "200", "201", "None") for k in (1, 2))
     kept = decontaminate.keep_clean(df, bench)
     assert kept.columns == df.columns
-    assert kept.count() == sum(1 for i, _ in rows if i not in (200, 201, None))
+    gone = [rows[len(odd)], rows[len(odd) + 1], rows[len(odd) + 3], rows[len(odd) + 4]]     # each row by its own text
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((r for r in rows if r not in gone), key=str)
     assert decontaminate.contaminated(docs_df(spark, []), bench).count() == 0
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
@@ -302,13 +329,14 @@ def test_decontamination_in_pieces_and_blocks(spark, monkeypatch):
 
 def brute_repeats(rows, length=suffix_dedup.LENGTH):
     seen, out = {}, []
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
-    for k in order:
+    # every row is a document of its own; rows of one id go by their texts
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1] is not None, (rows[k][1] or "").encode()))
+    for place, k in enumerate(order):
         raw = (rows[k][1] or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - length + 1):
             w = raw[p:p + length]
-            at = (rows[k][0] is not None, rows[k][0] or 0, p)
+            at = (place, p)
             if seen.setdefault(w, at) < at:
                 gone[p:p + length] = b"\x01" * length
         kept = bytes(b for b, g in zip(raw, gone) if not g)
@@ -329,14 +357,18 @@ def repeat_rows(rng):
 
 
 def test_repeats_against_all_strings(spark, odd):
-    rows = odd + repeat_rows(random.Random(7))
+    rng = random.Random(7)
+    rows = odd + repeat_rows(rng)
+    twin = sentence(rng, 60)
+    # no repeats, a repeat inside, and one of another row without an id
+    rows += [(None, sentence(rng, 90)), (None, twin + " . " + twin), (None, sentence(rng, 9) + twin), (60, sentence(rng, 70)), (60, twin)]
     df = docs_df(spark, rows)
     got = suffix_dedup.digest(df).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
     cut = suffix_dedup.cut_repeats(df)
     assert cut.columns == df.columns
     want = {i: n - g for i, n, g, _, _ in brute_repeats(rows)}
-    for r in cut.filter("doc_id >= 40").collect():
+    for r in cut.filter("doc_id >= 40 and doc_id <> 60").collect():
         assert r.text is None or r.n_chars == len(r.text) and len(r.text.encode()) <= want[str(r.doc_id)]
     assert {r.doc_id for r in cut.collect()} >= {4, 5, 6, 7}
     assert suffix_dedup.digest(docs_df(spark, [])).count() == 0
