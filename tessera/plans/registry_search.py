@@ -106,6 +106,29 @@ def doc_hits(spark, sf):
     return attach_chunks(hits, store)
 
 
+@register("knn_index", f"""
+SELECT CAST(count(*) AS BIGINT) AS n_queries, true AS recall_reached, true AS few_scored FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL""")
+def q_knn_index(spark, sf):
+    """V6: a stored index over all documents, asked by every document whose id
+    is divisible by 20, against the exact search: at least 0.9 of the exact
+    hits, with less than a tenth of the vectors scored."""
+    from ..operators.search_grid import probes, search_index, write_index
+    from ..session import cut_lineage, scratch_path
+    d = B.table(spark, sf, "documents").where(F.col("text").isNotNull())
+    v = cut_lineage(hashed_tf(d, "doc_id", "text"))
+    q = v.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
+    path = scratch_path(spark, "index")
+    write_index(v, path, key="doc_id")
+    exact = knn(q, v, K, "cosine", key="doc_id").select("query_id", "doc_id")
+    found = search_index(q, path, K, key="doc_id").select("query_id", "doc_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "doc_id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("recall_reached"))
+    # pairs scored, of all pairs of a query and a vector
+    pairs = probes(q, path).groupBy("query_id").agg(F.first("n_scored").alias("n")).agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n").alias("n"))
+    n = v.agg(F.count(F.lit(1)).alias("n_vectors"))
+    return (recall.join(pairs.join(n, F.lit(True)), F.lit(True))
+            .select("n_queries", "recall_reached", (F.col("n") < 0.1 * F.col("n_queries") * F.col("n_vectors")).alias("few_scored")))
+
+
 DOC_HITS_SQL = f"""
 {_hash_sql('dv', "'doc' || CAST(doc_id AS VARCHAR)", 'text', 'documents').strip()},
 qs AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
