@@ -341,6 +341,47 @@ def q_delta_fold(spark, sf):
                                                                          "token_count")
 
 
+@register("running_tokens", """
+SELECT conv_id AS request_id, turn AS seq, CAST(sum(length(text) // 5) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS tokens_so_far
+FROM conversations WHERE role = 'assistant'""")
+def q_running_tokens(spark, sf):
+    """The size of every answer after each of its text deltas."""
+    from ..streaming.deltas import running_tokens, text_deltas
+    ev = conversation_events(spark, sf).where(F.get_json_object("event_json", "$.delta.text").isNotNull())
+    return running_tokens(text_deltas(ev)).select("request_id", "seq", "tokens_so_far")
+
+
+@register("delta_fold_stream", """
+SELECT conv_id AS request_id, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text WHEN role = 'system' THEN '' END, '' ORDER BY turn), '') AS answer,
+       CAST(count(*) FILTER (role IN ('assistant', 'system')) AS BIGINT) AS n_deltas,
+       CAST(coalesce(sum(length(text) // 5) FILTER (role = 'assistant'), 0) AS BIGINT) AS token_count, 'complete' AS status
+FROM conversations GROUP BY conv_id""")
+def q_delta_fold_stream(spark, sf):
+    """T3/T4 as a stream: events in files that mix requests and turn the order
+    of their events round, some of them twice; the last row of every request."""
+    from ..session import scratch_path
+    from ..streaming.deltas import END_TYPE, fold_deltas_stream, stream_deltas
+    ev = conversation_events(spark, sf)
+    end = ev.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).withColumn("event_json", F.lit(f'{{"type":"{END_TYPE}"}}'))
+    ev = ev.select("request_id", F.col("seq").cast("bigint"), "event_json").unionByName(end.withColumn("seq", F.col("seq").cast("bigint")))
+    src, out, ckpt = (scratch_path(spark, f"fold-{x}") for x in ("in", "out", "ckpt"))
+    twice = ev.where(F.pmod(F.xxhash64("request_id", "seq"), F.lit(7)) == 0)
+    ev.unionByName(twice).repartition(6, F.xxhash64("seq", "request_id"), F.rand(7)).write.parquet(src)
+    stream = spark.readStream.schema("request_id long, seq long, event_json string").option("maxFilesPerTrigger", 2).parquet(src)
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/epoch={i}")
+    # with a timeout the engine runs batches without data for ever; a run that ends takes none
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        q = (fold_deltas_stream(stream_deltas(stream)).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(idle, old)
+    return spark.read.parquet(out).where("status = 'complete'").select("request_id", "answer", "n_deltas", "token_count", "status")
+
+
 # -- G6 / G9 / G10 / U3: the endpoints are deterministic stand-ins -------------------------------------
 def stub_model(body: str, model_id: str) -> str:
     """Deterministic stand-in for a model endpoint: echoes the request size,

@@ -53,6 +53,18 @@ def bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
+BATCH_BYTES = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, unless the application sets
+    its own bound: rows hold whole texts, and at Spark's default (10,000 rows
+    or 64 MB) a worker holds several copies of that much."""
+    if spark.sparkContext.getConf().get(_BATCH_CONF) is None:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
 _SHIPPED: set = set()
 
 
@@ -66,6 +78,7 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
+    bound_batches(spark)
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:

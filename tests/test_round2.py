@@ -145,10 +145,18 @@ def test_finished_answers_stay(spark):
     state = State()
     frame = lambda rows: [pd.DataFrame(rows, columns=["seq", "delta", "is_end"])]
     out = list(D._fold_state((7,), frame([(0, "a", False), (1, "b", False), (2, None, True)]), state))
-    assert out[0].iloc[0].tolist() == [7, "ab", 2, 0]
+    assert out[0].iloc[0].tolist() == [7, "ab", 2, 0, "complete"]
     assert list(D._fold_state((7,), frame([(1, "b", False)]), state)) == []
     open_ = State()
     list(D._fold_state((8,), frame([(0, "half", False)]), open_))
     open_.hasTimedOut = True
-    assert list(D._fold_state((8,), [], open_))[0].iloc[0].tolist() == [8, "half", 1, 0]
-    assert not open_.exists
+    assert list(D._fold_state((8,), [], open_))[0].iloc[0].tolist() == [8, "half", 1, 0, "timed_out"]
+    open_.hasTimedOut = False
+    assert list(D._fold_state((8,), frame([(1, "late", False), (2, None, True)]), open_)) == []     # after its last row
+    open_.hasTimedOut = True
+    assert list(D._fold_state((8,), [], open_)) == [] and not open_.exists
+    again = State()
+    assert list(D._fold_state((9,), frame([(0, "a", False), (2, "c", False)]), again))[0].iloc[0].tolist() == [9, "a", 1, 0, "open"]
+    assert list(D._fold_state((9,), frame([(0, "a", False)]), again))[0].iloc[0].tolist() == [9, "a", 1, 0, "open"]
+    assert again.value[4] == [2]                                                                   # nothing folded twice is parked
+    assert list(D._fold_state((9,), frame([(1, "b", False), (3, None, True)]), again))[0].iloc[0].tolist() == [9, "abc", 3, 0, "complete"]
