@@ -458,6 +458,18 @@ def q_generate_stub(spark, sf):
     return parse_responses(raw, req)
 
 
+@register("generate_ledger", _stub_sql(f"{_ASKED_SQL.strip()}, bodies AS (SELECT request_id, model_id, family, {_body_sql('prompt')} AS body FROM f)"))
+def q_generate_ledger(spark, sf):
+    """The same requests through a ledger: half of them first, then all; the
+    second call makes only the calls that the first one left."""
+    from ..operators.generate import call_ledger, parse_responses
+    from ..session import scratch_path
+    req = _requests(spark, sf)
+    path = scratch_path(spark, "ledger")
+    call_ledger(req.where(F.col("request_id") % 2 == 0), lambda: stub_model, path, partitions=8)
+    return parse_responses(call_ledger(req, lambda: stub_model, path, partitions=8), req)
+
+
 def _asked(spark, sf, model_id):
     c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
