@@ -436,7 +436,8 @@ EDITED, EMPTIED, DELETED = 0, 1, 2
 def _changed_store(spark, sf):
     """A store built from the documents' files, then brought up to date with a
     folder in which one file is edited, one cut to its header, one gone, and
-    one of an unsupported kind is new: ``(store path, log of the second)``."""
+    one of an unsupported kind and one that breaks off in a quoted cell are
+    new: ``(store path, log of both)``."""
     from ..session import scratch_path
     from ..sources.store import add_documents, log_path, rebuild_store
     first, second, store = (scratch_path(spark, f"files-{x}") for x in ("first", "second", "store"))
@@ -449,6 +450,8 @@ def _changed_store(spark, sf):
     _rename(spark, second, "n.csv")
     rows.select("sheet").limit(1).coalesce(1).write.text(f"{second}/part={N_FILES}")
     _rename(spark, second, "n.txt")
+    rows.limit(1).select(F.concat(F.lit('text\n"'), "sheet").alias("value")).coalesce(1).write.text(f"{second}/part={N_FILES + 1}")
+    _rename(spark, second, "n.csv")
     kw = {"max_tokens": K1_BUDGET, "overlap_tokens": K1_OVERLAP}
     rebuild_store(spark, first, store, **kw)
     add_documents(spark, second, store, remove_missing=True, **kw)
@@ -462,7 +465,8 @@ edited AS (SELECT * FROM doc_lines WHERE sheet_pos % {N_FILES} <> {EDITED} OR ro
 {O.k1_bounds('file_lines', 'length(line) // 5', K1_BUDGET, K1_OVERLAP).strip()}
 SELECT CAST(source AS INT) AS folder, 'n_' || part AS chunk_id, start_row, end_row, total_rows, 'ok' AS status FROM k1
 UNION ALL SELECT {EMPTIED}, NULL, NULL, NULL, NULL, 'empty'
-UNION ALL SELECT {N_FILES}, NULL, NULL, NULL, NULL, 'rejected'""")
+UNION ALL SELECT {N_FILES}, NULL, NULL, NULL, NULL, 'rejected'
+UNION ALL SELECT {N_FILES + 1}, NULL, NULL, NULL, NULL, 'error'""")
 def q_ingest_files(spark, sf):
     """Chunks that are left in the store, and the files without any by the log."""
     from ..sources.store import load_vectors
@@ -495,3 +499,51 @@ def q_search_files(spark, sf):
     live = ~_folder("source").cast("int").isin(EMPTIED, DELETED)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.contains("content", own)).alias("n_right"),
                                         F.count_if(live).alias("n_live"))
+
+
+# -- S1 / S2 / S12: listing, bytes and the raw archive of nested files of one name -----------
+@register("raw_archive", f"""
+WITH {O.DOC_LINES.strip()},
+f AS (SELECT sheet_pos % {N_FILES} AS part, string_agg(coalesce(cell, '') || chr(10), '' ORDER BY sheet_pos, row_idx) AS body FROM doc_lines GROUP BY 1)
+SELECT 'raw_docs/part=' || part || '/n.txt' AS key, CAST(strlen(body) AS BIGINT) AS length, CAST(strlen(body) AS BIGINT) AS listed, md5(body) AS digest FROM f""")
+def q_raw_archive(spark, sf):
+    from ..session import scratch_path
+    from ..sources.files import RAW_PREFIX, archive_raw, list_files, read_files, relative_path
+    src = scratch_path(spark, "raw-in")
+    rows = _docs(spark, sf).select(F.pmod("sheet_pos", F.lit(N_FILES)).cast("int").alias("part"), "sheet_pos", "row_idx",
+                                   F.coalesce(F.col("cells")[0], F.lit("")).alias("value"))
+    (rows.repartition(N_FILES, "part").sortWithinPartitions("part", "sheet_pos", "row_idx").select("part", "value")
+         .write.partitionBy("part").text(src))
+    _rename(spark, src, "n.txt")
+    kept = archive_raw(read_files(spark, src, "*.txt"), scratch_path(spark, "raw-out"), root=src)
+    listed = list_files(spark, src).select(F.concat(F.lit(RAW_PREFIX), relative_path("path", src)).alias("key"), F.col("length").alias("listed"))
+    return kept.join(listed, "key").select("key", "length", "listed", F.md5("content").alias("digest"))
+
+
+# -- K6: one entry point, the chunker by name ----------------------------------------------
+@register("chunk_by_method", f"""
+{_K2_SQL[:_K2_SQL.rindex('SELECT lower(chunk_id)')].rstrip()},
+{O.k1_bounds('doc_lines', 'COALESCE(length(cell), 0) // 5', K1_BUDGET, K1_OVERLAP).strip()}
+SELECT 'Token Count' AS method, source, count(*) AS n_chunks FROM k1 GROUP BY source
+UNION ALL SELECT 'Test Number', source, count(DISTINCT sheet) FROM doc_lines GROUP BY source
+UNION ALL SELECT 'Recursive', source, count(*) FROM k2 GROUP BY source""")
+def q_chunk_by_method(spark, sf):
+    """Chunks a source by each of the three chunkers (no document has a line
+    that begins with the marker, so each is one full-sheet chunk there)."""
+    from ..operators.ids import union_chunks
+    from ..sources.ingest import METHOD_MARKER, METHOD_RECURSIVE, METHOD_TOKENS, chunk
+    args = {METHOD_TOKENS: {"max_tokens": K1_BUDGET, "overlap_tokens": K1_OVERLAP, "with_text": False},
+            METHOD_MARKER: {"marker": "\u0001", "with_text": False}, METHOD_RECURSIVE: {"budget": K2_BUDGET, "overlap": K2_OVERLAP}}
+    parts = [chunk(_docs(spark, sf), m, **kw).select(F.lit(m).alias("method"), "source", "sheet", "part") for m, kw in args.items()]
+    return union_chunks(*parts).groupBy("method", "source").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+# -- U2: another embedder -------------------------------------------------------------------
+@register("embed_plugin", f"""
+SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST({O.line_count("coalesce(text, '')")} AS DOUBLE) AS lines FROM documents""")
+def q_embed_plugin(spark, sf):
+    """A caller's embedder over whole texts: characters and lines."""
+    from ..operators.embed import embed_with
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    v = embed_with(d, "text", lambda s: [(float(len(t)), float(len(t.splitlines()))) for t in s])
+    return v.select("doc_id", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("lines"))

@@ -12,7 +12,6 @@ CSV files are read by the splittable scan, workbooks by the workbook scan; files
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from ..operators.chunk_tokens import chunk_by_tokens
 from ..operators.scan import join_small
 from ..schema import SHEET_ROWS
 from .csv_source import scan_csv
-from .files import list_files, read_files
+from .files import list_files, read_files, relative_path
 from .workbook import read_workbooks
 
 # Fixed values of routing and logging.
@@ -65,14 +64,6 @@ def chunk(rows: DataFrame, method: str = METHOD_TOKENS, **kw) -> DataFrame:
     raise ValueError(f"unknown chunking method {method!r}")
 
 
-def relative_path(path, root: str):
-    """Path of a file below ``root`` (decoded; the scheme doesn't matter)."""
-    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*", "/")
-    base = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*", "/", root).rstrip("/") + "/"
-    full = plain(F.col(path) if isinstance(path, str) else path)
-    return F.when(full.startswith(base), F.substr(full, F.lit(len(base) + 1))).otherwise(tx.file_name(full))
-
-
 def list_documents(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """Every file under ``root`` with its relative path as ``name``,
     its kind and whether it can be read."""
