@@ -101,7 +101,7 @@ def section_label(cells, marker: str) -> Column:
 
 
 # Fixed values of the label rule.
-LABEL_PATTERN = r"(?i)Test Number" + "[:" + WS_CHARS + "]*" + r"([0-9.]+)"
+LABEL_PATTERN = (r"(?i)Test Number[:\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*([0-9.]+)")
 LABEL_PREFIX = "Test Number "
 UNKNOWN_LABEL = "Unknown Test"
 

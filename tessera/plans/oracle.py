@@ -6,7 +6,11 @@ Spark plans can be checked value by value.
 
 from __future__ import annotations
 
-from ..functions.text import LABEL_PATTERN, LINE_BREAK, NON_WS, WS
+# white space and line ends of Python's str methods, and the label rule
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NON_WS = r"[^\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_BREAK = r"(?:\r\n|[\n\x{0B}\f\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}])"
+LABEL_PATTERN = r"(?i)Test Number[:\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*([0-9.]+)"
 
 
 def q(s: str) -> str:
