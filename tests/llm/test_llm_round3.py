@@ -301,3 +301,43 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, rounds, members):
     least = {x: min((i for (i, _), y in zip(rows, root) if y == x and i is not None), default=None) for x in root}
     expect = sorted(((i, least[x] if shingles(t) else i) for (i, t), x in zip(rows, root)), key=str)
     assert sorted(((r.doc_id, r.component_id) for r in comp), key=str) == expect
+
+
+# --------------------------------------------------- 9, learning from all rows
+
+def test_model_learns_from_every_training_row(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.llm import attention_lm as lm
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + rng.choice("xyz") for _ in range(rng.randrange(0, 120)))) for i in range(300)]
+    rows += [(None, "no id here " * 20), (7, None), (8, ""), rows[4], rows[4]]
+    df = docs_df(spark, rows)
+    sub = lm.Subwords(lm.VOCABULARY)
+    # brute force: ids of all training rows, each text closed by the end token
+    texts = [(t or "") for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    ids = [[j for w in t.translate(LOWER).split() for j in sub.word(w.encode())] + [sub.end] for t in texts]
+    flat, bounds = np.array([j for x in ids for j in x]), np.cumsum([0, *map(len, ids)])
+    want = lm.fit(flat, bounds, sub.size, steps=0)
+    got = lm.train(df, steps=0)
+    assert (got.row == want.row).all() and (got.cls == want.cls).all() and np.array_equal(got.inside, want.inside)
+    assert all(np.allclose(np.abs(got.w[k]), np.abs(want.w[k]), atol=1e-4) for k in got.w)
+    # many tasks, averaged in a tree
+    monkeypatch.setattr(lm, "PART_WINDOWS", 20)
+    monkeypatch.setattr(lm, "DRAWN", 1.0)
+    monkeypatch.setattr(lm, "FAN", 3)
+    trained = lm.train(df, steps=30)
+    better = trained.log_probs(flat, bounds).mean()
+    assert better > lm.train(df, steps=0).log_probs(flat, bounds).mean() and np.isfinite(better)
+
+
+def test_mixture_keeps_very_small_probabilities_apart():
+    import numpy as np
+
+    from tessera.llm import attention_lm as lm
+
+    lp = np.array([-1.0, -700.0, -2000.0, -20000.0])
+    got = lm._mixed(lp, np.zeros(4), 10)
+    assert np.allclose(got, (np.log(lm.MIX) + lp) / math.log(10))
+    assert np.allclose(lm._mixed(lp, np.array([3.0] * 4), 10)[1:], math.log10((1 - lm.MIX) * 0.3))
