@@ -419,12 +419,12 @@ WITH RECURSIVE {O.DOC_LINES.strip()},
 SELECT source AS folder, CAST(part AS VARCHAR) AS number, part, start_row, end_row, total_rows, total_parts FROM k1""")
 def q_ingest_stream(spark, sf):
     from ..session import scratch_path
-    from ..streaming.ingest import ingest_stream
+    from ..streaming.ingest import ingest_stream, read_ingested
     src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "ckpt"))
     write_document_files(spark, sf, src)
     q = ingest_stream(spark, src, out, ckpt, max_tokens=K1_BUDGET, overlap_tokens=K1_OVERLAP, max_files_per_trigger=8)
     q.awaitTermination()
-    v = spark.read.parquet(out)
+    v = read_ingested(spark, out)
     return v.select(_folder("source").alias("folder"), F.regexp_extract("chunk_id", "_([0-9]+)$", 1).alias("number"),
                     "part", "start_row", "end_row", "total_rows", "total_parts")
 

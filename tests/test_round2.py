@@ -68,6 +68,32 @@ def test_stream_takes_every_file(spark, tmp_path):
     assert log == {"a/n.csv": "ok", "b/n.csv": "ok", "b/c.txt": "rejected"}
 
 
+def test_stream_ledger(spark, tmp_path):
+    import shutil
+
+    from tessera.streaming.ingest import ingest_stream, manifest_path, read_ingested
+
+    root, out = f"{tmp_path}/docs", f"{tmp_path}/out"
+    run = lambda c: ingest_stream(spark, root, out, f"{tmp_path}/{c}", max_tokens=60, overlap_tokens=10).awaitTermination()
+    live = lambda: sorted(r.source for r in read_ingested(spark, out).collect())
+    write(f"{root}/a.csv", "h\none\n")
+    write(f"{root}/b.csv", "h\ntwo\n")
+    write(f"{root}/c.csv", "h\none\n")                        # the bytes of a.csv
+    run("one")
+    assert live() == ["a.csv", "b.csv"]
+    write(f"{root}/renamed.csv", "h\ntwo\n")
+    write(f"{root}/new.csv", "h\nthree\n")
+    run("one")
+    assert live() == ["a.csv", "b.csv", "new.csv"]
+    log = {r.source: (r.status, r.error) for r in spark.read.parquet(log_path(out)).collect()}
+    assert log["c.csv"] == ("duplicate", "Same bytes as a.csv") and log["renamed.csv"] == ("duplicate", "Same bytes as b.csv")
+    # a run that broke before its manifest: its rows don't count
+    shutil.copytree(f"{out}/epoch=1", f"{out}/epoch=7")
+    assert live() == ["a.csv", "b.csv", "new.csv"]
+    shutil.rmtree(f"{manifest_path(out)}/epoch=1")
+    assert live() == ["a.csv", "b.csv"]
+
+
 def test_one_answer_a_question(spark):
     from tessera.operators.embed import hashed_tf
     from tessera.plans.flagship import ask_events, dispatch
