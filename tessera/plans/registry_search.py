@@ -13,7 +13,7 @@ from ..operators.embed import DEFAULT_DIM, hashed_tf
 from ..operators.search import attach_chunks, hit_listing, knn, knn_lsh
 from . import bindings as B
 from . import oracle as O
-from .registry import register
+from .registry import ORACLE, register
 
 K = 5
 WS_PLUS = O.q(tx.WS + "+")
@@ -167,6 +167,36 @@ def q_hit_listing(spark, sf):
     return hit_listing(doc_hits(spark, sf))
 
 
+_TXT_SQL = ORACLE["chunk_tokens_text"]
+
+
+@register("hit_listing_chunks", f"""
+{_TXT_SQL[:_TXT_SQL.rindex('SELECT chunk_id, start_row')].rstrip()},
+st AS (SELECT concat_ws(':', '0', length(k.source), k.source, k.sheet, k.part) AS row_key, t.chunk_id, k.source, k.sheet, t.start_row, t.end_row, t.content
+       FROM txt t JOIN k1_ids k ON k.chunk_id = t.chunk_id),
+{_hash_sql('cv', 'row_key', 'content', 'st').strip()},
+qs AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+{_hash_sql('qv', 'query_id', 'query', 'qs').strip()},
+dots AS (SELECT q.key AS query_id, d.key AS row_key, sum(q.x * d.x) AS dot FROM qv q JOIN cv d ON q.b = d.b GROUP BY q.key, d.key),
+sc AS (SELECT qs.query_id, st.row_key, round(CASE WHEN ql.nrm > 0 AND dl.nrm > 0 THEN COALESCE(d.dot, 0) / (ql.nrm * dl.nrm) ELSE 0 END, 4) AS score
+       FROM qs CROSS JOIN st LEFT JOIN dots d ON d.query_id = qs.query_id AND d.row_key = st.row_key
+       LEFT JOIN qv_len ql ON ql.key = qs.query_id LEFT JOIN cv_len dl ON dl.key = st.row_key),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_key) AS rank FROM sc) WHERE rank <= {K})
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, printf('%.4f', score) AS score_text, source, sheet,
+       start_row || ' - ' || end_row AS rows, substring(content, 1, 1500) AS preview FROM hits JOIN st USING (row_key)""")
+def q_hit_listing_chunks(spark, sf):
+    """V7 over token chunks: hits with their sheet and rows."""
+    from ..operators.chunk_tokens import chunk_by_tokens
+    from ..operators.embed import embed_chunks
+    from ..operators.search import search_chunks
+    from ..session import cut_lineage
+    from .registry import K1_BUDGET, K1_OVERLAP
+    chunks = chunk_by_tokens(B.document_rows(B.table(spark, sf, "documents")), K1_BUDGET, K1_OVERLAP, layout="table")
+    qv = hashed_tf(user_questions(spark, sf), "query_id", "query")
+    return hit_listing(search_chunks(qv, cut_lineage(embed_chunks(chunks)), K,
+                                     columns=("chunk_id", "source", "sheet", "start_row", "end_row", "content")))
+
+
 @register("context", f"""
 WITH {DOC_HITS_SQL.strip()}
 SELECT query_id, CAST(count(*) AS BIGINT) AS n_hits, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context
