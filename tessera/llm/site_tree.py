@@ -61,6 +61,8 @@ NOISE_NAME = re.compile(
     r"side-?bar|nav(?:igation|bar)?|menus?|breadcrumbs?|comments?(?:-?list)?|disqus|respond|repl(?:y|ies)|share|sharing|social|"
     r"related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|sign-?up|login|footer|masthead|site-?header|"
     r"page-?header|pop-?up|modal|overlay|skip-?link|pagination|pager|widget|toolbar|alert)(?:$|[-_ 0-9])", re.I)
+#: names of wrappers that say what the page around them has or lacks
+WRAPPER_NAME = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|template)\s*>", re.I)
 
@@ -71,17 +73,19 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "style", "noise", "main", "inline")
+    __slots__ = ("tag", "style", "noise", "main", "inline", "named")
 
-    def __init__(self, tag, style, noise, main, inline):
-        self.tag, self.style, self.noise, self.main, self.inline = tag, style, noise, main, inline
+    def __init__(self, tag, style, noise, main, inline, named):
+        self.tag, self.style, self.noise, self.main, self.inline, self.named = tag, style, noise, main, inline, named
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
     """``(style path, noise by markup, inside article, text)`` in page order.
 
     Noise is what stands under an element, name or role that is never main
-    text; a ``header`` is noise unless it is part of an article.
+    text; a ``header`` is noise unless it is part of an article.  An element
+    that is noise by its name only, but holds the page's first article, is
+    none.
     """
     out: list[tuple[str, bool, bool, str]] = []
     stack: list[_Node] = []
@@ -99,7 +103,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
         flush()
         del stack[index:]
 
-    pos, end = 0, len(html)
+    pos, end, seen_main = 0, len(html), False
     while pos < end:
         m = _TAG.search(html, pos)
         if m is None:
@@ -138,8 +142,10 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
         names = " ".join((attrs.get("class", ""), attrs.get("id", ""))).strip()
         noise = (tag in NOISE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                  or attrs.get("role", "").lower() in NOISE_ROLE
-                 or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I))
-                 or (tag not in ("article", "main", "body", "html") and bool(names) and any(NOISE_NAME.search(x) for x in names.split())))
+                 or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)))
+        named = (not noise and tag not in ("article", "main", "body", "html") and bool(names)
+                 and any(NOISE_NAME.search(x) and not WRAPPER_NAME.match(x) for x in names.split()))
+        noise = noise or named
         in_main = any(n.main for n in stack)
         if tag == "header" and not in_main:
             noise = True
@@ -147,6 +153,10 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
         inline = tag in INLINE and not noise
         if not inline:
             flush()
+        if main and not seen_main:
+            seen_main = not any(n.noise and not n.named for n in stack)
+            for n in stack:
+                n.noise = n.noise and not n.named
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].tag == "p":
@@ -167,7 +177,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
             pos = close.end() if close else end
             continue
-        stack.append(_Node(tag, f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag, noise, main, inline))
+        stack.append(_Node(tag, f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag, noise, main, inline, named))
     flush()
     return out
 

@@ -341,3 +341,23 @@ def test_mixture_keeps_very_small_probabilities_apart():
     got = lm._mixed(lp, np.zeros(4), 10)
     assert np.allclose(got, (np.log(lm.MIX) + lp) / math.log(10))
     assert np.allclose(lm._mixed(lp, np.array([3.0] * 4), 10)[1:], math.log10((1 - lm.MIX) * 0.3))
+
+
+# ------------------------------------------------------- 2, names of wrappers
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar", "no-comments", "content notice-board", "widget"])
+def test_article_in_a_wrapper_is_kept(name):
+    from tessera.llm.site_tree import blocks
+
+    page = (f'<body><nav>menu</nav><div class="{name}"><article><h1>Title</h1><p>Body text.</p><div class="comments"><p>first!</p></div></article></div>'
+            '<div class="related"><article><p>Teaser</p></article></div><footer>foot</footer></body>')
+    got = blocks(page)
+    assert [text for _, noise, main, text in got if main and not noise] == ["Title", "Body text."]
+    assert {text for _, noise, _, text in got if noise} == {"menu", "first!", "Teaser", "foot"}
+
+
+def test_noise_by_more_than_a_name_stays_noise():
+    from tessera.llm.site_tree import blocks
+
+    page = '<aside class="widget"><article><p>In the side bar</p></article></aside><article><p>Text</p></article>'
+    assert [(noise, text) for _, noise, _, text in blocks(page)] == [(True, "In the side bar"), (False, "Text")]
