@@ -44,7 +44,7 @@ from ..functions import text as tx
 from ..functions.tokens import CHARS_PER_TOKEN
 from ..session import cut_lineage, spread
 from .ids import assign_chunk_ids
-from .scan import join_small, ordered_text
+from .scan import ordered_text
 
 # Fixed values of the recursive splitter.
 DEFAULT_BUDGET = 8000
@@ -147,6 +147,7 @@ def text_lines(rows: DataFrame) -> DataFrame:
                     ((F.col("__t") == "") & ~first & ~F.col("__end")).alias("empty"))
 
 
+ANNOUNCED = -1               # row of a line that only says that its sheet has blank lines
 MEMBERS = "source string, sheet string, sheet_pos long, part long, row long, sub int, n_own int"
 
 
@@ -232,11 +233,13 @@ def _members(budget: int, overlap: int):
     def run(batches):
         sheet, out = None, []
         for pdf in batches:
-            for src, sh, pos, row, sub, chars, text, empty, n_own, blocks in pdf.itertuples(index=False, name=None):
+            for src, sh, pos, row, sub, chars, text, empty, n_own in pdf.itertuples(index=False, name=None):
                 if sheet is None or sheet.key[0] != src or sheet.key[1] != sh:
                     if sheet is not None:
                         sheet.end()
-                    sheet = _Sheet((src, sh, None if pd.isna(pos) else int(pos)), bool(blocks), budget, overlap, out)
+                    sheet = _Sheet((src, sh, None if pd.isna(pos) else int(pos)), row == ANNOUNCED, budget, overlap, out)
+                if row == ANNOUNCED:
+                    continue
                 sheet.add(row, sub, chars, text, empty, n_own)
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=cols)
@@ -267,10 +270,11 @@ def _split_over_lines(rows: DataFrame, budget: int, overlap: int) -> DataFrame:
     over = F.lit(budget * CHARS_PER_TOKEN).cast("bigint")
     own_rows = longs.select(*light, over.alias("chars"), F.lit(True).alias("text"), "empty", F.size("texts").alias("n_own"))
     x = short.unionByName(own_rows)
-    blocks = x.groupBy("source", "sheet").agg(F.max("empty").alias("blocks"))
-    members = (join_small(x, blocks, ["source", "sheet"]).repartition("source", "sheet")
+    # a blank line is announced ahead of its sheet's lines
+    twice = F.explode(F.when(F.col("empty"), F.array("row", F.lit(ANNOUNCED).cast("bigint"))).otherwise(F.array("row")))
+    members = (x.withColumn("row", twice).repartition("source", "sheet")
                .sortWithinPartitions("source", "sheet", "row", "sub")
-               .select(*light, "chars", "text", "empty", "n_own", "blocks")
+               .select(*light, "chars", "text", "empty", "n_own")
                .mapInPandas(_members(budget, overlap), MEMBERS))
     members = cut_lineage(members)
     merged = (members.where("n_own = 0").join(lines.select(*PLACE, "piece"), PLACE)
