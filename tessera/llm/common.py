@@ -24,14 +24,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is (``left_anti``: isn't) in the
-    column ``doc_id`` of ``ids``; null ids are equal, no column is added.
-    Up to ``SMALL_IDS`` ids are broadcast, more are joined by shuffle."""
-    one = small(ids.select(F.col("doc_id").cast("long").alias("__id")).distinct(), SMALL_IDS)
-    return docs.join(one, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), how)
-
-
 def unit_hash(*cols: Column, seed: int) -> Column:
     """Uniform number in (0, 1) from an md5 of the seed and the columns."""
     s = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
