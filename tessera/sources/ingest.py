@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators.chunk_marker import chunk_by_marker
 from ..operators.chunk_recursive import chunk_recursive
 from ..operators.chunk_tokens import chunk_by_tokens
