@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -195,7 +196,7 @@ LIGHT = ("host string, page long, "
          "blocks array<struct<pos:int,path:long,content:long,size:int,main:boolean,new:boolean,first:boolean>>")
 _BLOCK = pa.list_(pa.struct([("pos", pa.int32()), ("path", pa.int64()), ("content", pa.int64()), ("size", pa.int32()), ("main", pa.bool_()),
                              ("new", pa.bool_()), ("first", pa.bool_())]))
-TEXTS = "page_id long, url string, host string, page long, texts array<string>"
+TEXTS = "page_id long, url string, host string, page long, texts binary"
 
 
 def _page(html: str | None):
@@ -228,16 +229,33 @@ def _light(it):
 
 
 def _texts(it):
+    """The pages' block texts, packed: they cross the shuffle."""
     for batch in it:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             pages = [_page(h) for h in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([host_of(u) for u in part.column(1).to_pylist()], pa.string()),
-                 pa.array([page for _, page in pages], pa.int64()), pa.array([[r[3] for r in rows] for rows, _ in pages], pa.list_(pa.string()))],
+                 pa.array([page for _, page in pages], pa.int64()), pa.array([pack([r[3] for r in rows]) for rows, _ in pages], pa.binary())],
                 names=["page_id", "url", "host", "page", "texts"])
 
 
+def pack(texts: list[str]) -> bytes:
+    """Block texts as compressed bytes; white space in a block is one space,
+    so none has a line feed."""
+    return zlib.compress("\n".join(texts).encode("utf-8"), 1)
+
+
+def _joined(it):
+    """Texts of the blocks that stay."""
+    for batch in it:
+        texts = []
+        for packed, kept in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            blocks_ = zlib.decompress(packed).decode("utf-8").split("\n") if kept else []
+            texts.append("\n\n".join(blocks_[k] for k in kept or []))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
 def style_tree(seen: DataFrame) -> DataFrame:
     """``host, path, content, m, node, leaf`` of the blocks ``seen`` on
     distinct pages: pages with the path, the path's own importance and that
@@ -278,6 +296,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     # pages are read twice, so that what is kept and dealt out for the tree has no texts
     light = cut_lineage(src.mapInArrow(_light, LIGHT).dropDuplicates(["host", "page"]))
     both = src.mapInArrow(_texts, TEXTS).join(verdicts(light), ["host", "page"], "left")
-    text = F.array_join(F.transform("kept", lambda k: F.get("texts", k)), "\n\n")
-    return (both.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+    return (both.select("page_id", "url", "texts", "kept").mapInArrow(_joined, "page_id long, url string, text string")
             .withColumn("n_chars", F.length("text").cast("long")))
