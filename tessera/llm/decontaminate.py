@@ -274,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         norm = normalise(block.column("text").combine_chunks()).to_pylist() if block.num_rows else []
         keep = [(i, x) for i, x in zip(block.column("item_id").to_pylist(), norm) if len(x) >= MIN_ITEM]
         packed = spark.sparkContext.broadcast(([i for i, _ in keep], [x for _, x in keep]))
-        found = texts(docs).mapInArrow(lambda it, packed=packed: _search(it, packed), SCHEMA)
+        found = texts(docs).mapInArrow(tb.lean(lambda it, packed=packed: _search(it, packed)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -58,6 +58,7 @@ SAMPLE_LEAST = 3             # sampled documents that make a shingle frequent
 MAX_FREQUENT = 1 << 16       # frequent shingles that the order knows
 BLOOM_BITS = 1 << 23
 LEAF = 32
+PAIRS = 1 << 18              # pairs of nodes that a tree join looks at together
 ROUNDS = 24                  # stars before the trees, at most
 LEAST_GAIN = 10              # stars go on while one adds a link to ten: what is left is the trees'
 
@@ -127,7 +128,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles of at least ``SAMPLE_LEAST`` sampled documents, the most
     frequent first to go in when there are too many; only the order of the
     prefixes depends on them, never the result."""
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(_sampled, "h long")
+    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(tb.lean(_sampled), "h long")
     top = (few.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SAMPLE_LEAST)
            .orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toPandas()["h"].to_numpy(dtype=np.int64))
     return np.sort(top.view(np.uint64))
@@ -263,22 +264,34 @@ class SignatureTree:
         self.fans = [LEAF] + [8] * (len(self.levels) - 2)
 
     def pairs(self):
-        """Pairs of members that may link, of different components."""
+        """Pairs of members that may link, of different components.  Pairs of
+        nodes are opened ``PAIRS`` at a time, depth first, so that what is held
+        doesn't grow with the square of the group."""
+        top = len(self.levels) - 1
         a = b = np.zeros(1, dtype=np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            if level < len(self.levels) - 1:
-                fan, n = self.fans[level], len(self.levels[level][0])
-                ka = (a[:, None] * fan + np.arange(fan))
-                kb = (b[:, None] * fan + np.arange(fan))
-                a2 = np.repeat(ka, fan, axis=1).ravel()
-                b2 = np.tile(kb, (1, fan)).ravel()
-                ok = (a2 < n) & (b2 < n) & (a2 <= b2)
-                a, b = a2[ok], b2[ok]
+        ok = self._may(top, a, b)
+        todo, found = [(top, a[ok], b[ok])], []
+        while todo:
+            level, a, b = todo.pop()
+            if not level:
+                found.append((a, b))
+                continue
+            level -= 1
+            fan, n = self.fans[level], len(self.levels[level][0])
+            step = max(1, PAIRS // fan ** 2)
+            if len(a) > step:
+                todo.append((level + 1, a[step:], b[step:]))
+                a, b = a[:step], b[:step]
+            ka = (a[:, None] * fan + np.arange(fan))
+            kb = (b[:, None] * fan + np.arange(fan))
+            a2 = np.repeat(ka, fan, axis=1).ravel()
+            b2 = np.tile(kb, (1, fan)).ravel()
+            ok = (a2 < n) & (b2 < n) & (a2 <= b2)
+            a, b = a2[ok], b2[ok]
             ok = self._may(level, a, b)
-            a, b = a[ok], b[ok]
-            if not len(a):
-                break
-        return a, b
+            if ok.any():
+                todo.append((level, a[ok], b[ok]))
+        return tuple(np.concatenate([x[i] for x in found] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
 
     def _may(self, level, a, b):
         lo, hi, most, word, one = self.levels[level]
@@ -337,14 +350,14 @@ def _tree_join(members: pa.Table, classes: pa.Table) -> pa.Table:
 
 
 def _whole_sets(it, wanted):
-    bloom = wanted.value
+    bloom = wanted.value.tobytes()
     for batch in it:
         for _, _, data, off in tb.slices(batch.column(1)):
             got = {}
             for s in shingle_sets(data, off):
                 if len(s):
                     i = set_id(s)
-                    if bloom[i & (BLOOM_BITS - 1)]:
+                    if bloom[(i & (BLOOM_BITS - 1)) >> 3] >> (i & 7) & 1:
                         got[i] = s.tobytes()
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())],
@@ -352,14 +365,14 @@ def _whole_sets(it, wanted):
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size of the ids wanted (misses none; the join that
+    """Packed bitmap of fixed size of the ids wanted (misses none; the join that
     follows is exact).  The driver gets at most ``BLOOM_BITS / 64`` words."""
     bit = F.col("id").bitwiseAND(F.lit(BLOOM_BITS - 1))
     words = (ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(id & 63 as int))").alias("v"))
              .groupBy("w").agg(F.bit_or("v").alias("v")).toPandas())
     out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def _plausible(it):
@@ -380,7 +393,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = (pairs.join(by.toDF("a", "na", "ra", "ba"), "a").join(by.toDF("b", "nb", "rb", "bb"), "b")
             .filter((100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na))
             .filter(F.least("ra", "rb") >= F.least(need(na, nb), need(nb, na))))
-    return cut_lineage(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_plausible, "a long, b long"))
+    return cut_lineage(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(tb.lean(_plausible), "a long, b long"))
 
 
 def _exact(it):
@@ -397,14 +410,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of class ids whose whole sets link."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     packed = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
-    sets = (docs.mapInArrow(lambda it: _whole_sets(it, packed), "sid long, shingles binary")
+    sets = (docs.mapInArrow(tb.lean(lambda it: _whole_sets(it, packed)), "sid long, shingles binary")
             .join(ids.distinct(), F.col("sid") == F.col("id"), "left_semi")
             .groupBy("sid").agg(F.first("shingles").alias("shingles")))
     sets = cut_lineage(sets)
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return cut_lineage(both.mapInArrow(_exact, "a long, b long"))
+    return cut_lineage(both.mapInArrow(tb.lean(_exact), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -477,13 +490,13 @@ def _named(docs: DataFrame) -> DataFrame:
     smallest class of its component (both null without shingles)."""
     keyed = texts(docs).withColumn("key", _row_key())
     docs = keyed.drop("key")
-    light = cut_lineage(keyed.mapInArrow(_light, "doc_id long, key long, n_shingles long, sid long, bitmap binary"))
+    light = cut_lineage(keyed.mapInArrow(tb.lean(_light), "doc_id long, key long, n_shingles long, sid long, bitmap binary"))
     total = light.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(16, -(-int(total) // (4 * BUCKET_HASHES)))
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs))
-    grouped = cut_lineage(docs.mapInArrow(lambda it: _prefixes(it, frequent, n_buckets), "bucket long, h binary, sid binary")
-                          .groupBy("bucket").applyInArrow(_group, GROUPED))
+    grouped = cut_lineage(docs.mapInArrow(tb.lean(lambda it: _prefixes(it, frequent, n_buckets)), "bucket long, h binary, sid binary")
+                          .groupBy("bucket").applyInArrow(tb.lean_group(_group), GROUPED))
     sizes = light.filter("sid is not null").groupBy("sid").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
     classes = cut_lineage(grouped.filter(F.col("kind") == SHARED).groupBy(F.col("x").alias("sid"))
                           .agg(F.sum("n").alias("shared"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(4)])

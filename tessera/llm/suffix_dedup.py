@@ -51,7 +51,8 @@ LENGTH = 100
 GRAM = 32
 HOT = 8000                   # distinct contexts of one anchor (about a megabyte) beyond which strings are counted one by one
 BUCKET_BYTES = 6 << 20       # bytes of text whose anchors a bucket is meant to hold
-INDEX_BYTES = 1 << 20        # bytes of context an index is meant to hold
+INDEX_BYTES = 1 << 18        # bytes of context an index is meant to hold
+COMPARED = 1 << 15           # pairs of suffixes compared at once
 MAX_BITS = 1 << 27           # largest bitmap of places (16 MB)
 NO_ID = -(1 << 63)
 
@@ -160,8 +161,8 @@ def _rows(g, doc, lo, ctx):
 
 def _contexts(it, wanted):
     """Contexts whose place may be wanted (a bitmap of places by hash)."""
-    bloom = np.unpackbits(wanted.value, bitorder="little").view(bool)
-    bits = np.uint64(len(bloom) - 1)
+    bloom = wanted.value
+    bits = np.uint64(8 * len(bloom) - 1)
     for batch in it:
         ids = _ids(batch.column(0))
         for r0, r1, data, off in tb.slices(batch.column(1)):
@@ -169,7 +170,7 @@ def _contexts(it, wanted):
             if not len(g):
                 continue
             d, at = ids[r0:r1][doc], lo - off[doc]
-            ok = np.flatnonzero(bloom[(_place(d, at) & bits).astype(np.int64)])
+            ok = np.flatnonzero(tb.has_bit(bloom, (_place(d, at) & bits).astype(np.int64)))
             raw = data.tobytes()
             yield _rows(g[ok], d[ok], at[ok], [raw[x:y + LENGTH] for x, y in zip(lo[ok].tolist(), hi[ok].tolist())])
 
@@ -210,11 +211,11 @@ def _fetch(docs: DataFrame, open_: DataFrame, max_bits: int) -> DataFrame:
     schema = "g long, doc long, lo long, ctx binary"
     if bits <= max_bits:
         packed = docs.sparkSession.sparkContext.broadcast(_bitmap(open_, bits))
-        picked = docs.mapInArrow(lambda it: _contexts(it, packed), schema)
+        picked = docs.mapInArrow(tb.lean(lambda it: _contexts(it, packed)), schema)
         return picked.join(open_.select("doc", "lo").distinct(), ["doc", "lo"], "left_semi").select("g", "doc", "lo", "ctx")
     places = open_.groupBy("doc").agg(F.collect_list("lo").alias("places"))
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    return docs.join(places, key == F.col("doc")).select("doc_id", "text", "places").mapInArrow(_all_contexts, schema)
+    return docs.join(places, key == F.col("doc")).select("doc_id", "text", "places").mapInArrow(tb.lean(_all_contexts), schema)
 
 
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +271,12 @@ class RunLengthIndex:
         (``b`` < 0: none), eight bytes a step."""
         out = np.zeros(len(a), dtype=np.int64)
         pad = np.concatenate([self.s, np.zeros(8, dtype=np.uint8)])
-        live = np.flatnonzero(b >= 0)
+        some = np.flatnonzero(b >= 0)
+        for k in range(0, len(some), COMPARED):
+            self._extend(a, b, pad, out, some[k:k + COMPARED])
+        return out
+
+    def _extend(self, a, b, pad, out, live) -> None:
         steps = np.arange(8)
         while len(live):
             x, y = a[live] + out[live], b[live] + out[live]
@@ -280,7 +286,6 @@ class RunLengthIndex:
             n = np.where(same.all(axis=1), 8, same.argmin(axis=1))
             out[live] += n
             live = live[n == 8]
-        return out
 
     def match_lengths(self) -> np.ndarray:
         """For every text position the prefix its suffix has in common with
@@ -335,8 +340,8 @@ def repeats(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-int(total) // BUCKET_BYTES))
     found = cut_lineage(
-        docs.mapInArrow(lambda it: _packed(it, n_buckets), "bucket long, g binary, ctx binary, doc binary, lo binary, n binary")
-        .groupBy("bucket").applyInArrow(_classes, "kind int, doc long, lo long, hi long"))
+        docs.mapInArrow(tb.lean(lambda it: _packed(it, n_buckets)), "bucket long, g binary, ctx binary, doc binary, lo binary, n binary")
+        .groupBy("bucket").applyInArrow(tb.lean_group(_classes), "kind int, doc long, lo long, hi long"))
     whole = found.filter(F.col("kind") == REPEAT).select("doc", "lo", "hi")
     open_ = found.filter(F.col("kind") == OPEN).select("doc", "lo", F.col("hi").alias("key"))
     ctx = cut_lineage(_fetch(docs, open_, max_bits))
@@ -344,7 +349,7 @@ def repeats(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     n_parts = max(8, -(-int(many.agg(F.sum("bytes")).first()[0] or 0) // INDEX_BYTES))
     hot = many.filter(F.col("n") > HOT).select("g")
     indexed = (ctx.join(hot, "g", "left_anti").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(n_parts)))
-               .groupBy("part").applyInArrow(_indexed, "doc long, lo long, hi long"))
+               .groupBy("part").applyInArrow(tb.lean_group(_indexed), "doc long, lo long, hi long"))
     strings = (ctx.join(hot, "g", "left_semi")
                .select("doc", "lo", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - LENGTH)).alias("i"))
                .select("doc", (F.col("lo") + F.col("i")).alias("lo"), F.md5(F.expr(f"substring(ctx, i + 1, {LENGTH})")).alias("s")))
@@ -438,7 +443,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     return (_with_spans(texts(docs)).select("doc_id", "text", "__spans")
-            .mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .mapInArrow(tb.lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -448,7 +453,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     joined = _with_spans(docs)
-    out = joined.mapInArrow(_kept, StructType(docs.schema.fields))
+    out = joined.mapInArrow(tb.lean(_kept), StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import textbatch as tb
 from .common import texts
 
 SAMPLE = 5000            # labelled rows of each class to learn from
@@ -153,7 +154,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     n_t, n_c = n.get(1, 0), n.get(0, 0)
     if not n_t or not n_c:
         return lexicon
-    counts = (sample.mapInArrow(_count_stems, "stem string, t long, c long")
+    counts = (sample.mapInArrow(tb.lean(_count_stems), "stem string, t long, c long")
               .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t >= 3"))
     t, c = F.col("t"), F.col("c")
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
@@ -171,7 +172,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 def cut_point(sample: DataFrame, lexicon: dict[str, float]) -> float:
     """Raw score with the fewest errors on the sample (each class counts
     half); the sample's size bounds what the driver gets."""
-    rows = sample.mapInArrow(lambda it: _raws(it, lexicon), "doc_id long, raw double, toxic int").select("raw", "toxic").toPandas()
+    rows = sample.mapInArrow(tb.lean(lambda it: _raws(it, lexicon)), "doc_id long, raw double, toxic int").select("raw", "toxic").toPandas()
     x, y = rows["raw"].to_numpy(), rows["toxic"].to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return DEFAULT_CUT
@@ -190,7 +191,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     learn = labelled_sample(docs, labels, sample)
     lexicon = learn_lexicon(learn)
     cut = max(cut_point(learn, lexicon), 1e-3)
-    raws = docs.mapInArrow(lambda it: _raws(it, lexicon), "doc_id long, raw double")
+    raws = docs.mapInArrow(tb.lean(lambda it: _raws(it, lexicon)), "doc_id long, raw double")
     score = 1 / (1 + F.pow(F.lit(cut) / F.greatest(F.col("raw"), F.lit(cut / 1e6)), F.lit(STEEPNESS)))
     return raws.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                        score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
@@ -210,4 +211,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
             at = batch.schema.names.index("text")
             yield batch.filter(pa.array([scan.raw(t or "") < cut for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tb.lean(clean), docs.schema)
